@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import views_sql
+from checks import tables_sql, views_sql
 
-MODULES = [views_sql]
+MODULES = [views_sql, tables_sql]
 
 
 def all_sql() -> dict[str, str]:

@@ -3,23 +3,285 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ticketlens.plans import views
+from ticketlens.functions import labels
+from ticketlens.operators import metrics
+from ticketlens.operators.openat import open_rows
+from ticketlens.operators.staging import shared_root
+from ticketlens.plans import cleaning, enrich, extracts, findings, quality, report, scoring, views
 from ticketlens.plans.desk import Desk, testdata_desk
+from ticketlens.sources import raw, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
+Build = Callable[[Desk], DataFrame]
 
 AS_OF = datetime(2000, 6, 1)
+WEEK = date(2000, 6, 4)
+SERVICE_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 
-def _on_desk(build: Callable[[Desk], DataFrame]) -> Query:
-    return lambda spark, sf_dir: build(testdata_desk(spark, sf_dir))
+def _spark(desk: Desk) -> SparkSession:
+    return desk.tickets.sparkSession
+
+
+def _dbl(name: str):
+    return F.col(name).cast("double").alias(name)
+
+
+# --- sources, sinks, catalog -----------------------------------------------------------
+
+
+def raw_extract_counts(desk: Desk) -> DataFrame:
+    return quality.table_counts(desk.get("raw"))
+
+
+def snapshot_of_extract(desk: Desk) -> DataFrame:
+    spark = _spark(desk)
+    declared = raw.resolve_snapshot(raw.read_metadata(spark, desk.get("raw_dir")), desk.tickets)
+    seen = raw.resolve_snapshot({}, desk.get("cleaned").kept)
+    rows = [("declared", declared), ("last_update", seen)]
+    return spark.createDataFrame(rows, "source string, snapshot_ts timestamp_ntz")
+
+
+def processed_roundtrip(desk: Desk) -> DataFrame:
+    """Write the processed tables as CSV, read the wide one back with types."""
+    out = f"{shared_root(_spark(desk))}/processed"
+    wide = desk.get("tickets").select(*enrich.FACT_COLUMNS, *enrich.WIDE_EXTRAS)
+    rejected = desk.get("cleaned").rejected
+    tables.write_processed({"tickets": wide, "rejected": rejected}, out, "csv")
+    back = tables.read_processed(_spark(desk), f"{out}/tickets", wide.schema, "csv")
+    return back.select(
+        "ticket_id",
+        "creation_ts",
+        "resolution_ts",
+        "customer_id",
+        "active_outage_id",
+        _dbl("resolution_hours"),
+        "is_weekend",
+        "is_resolved",
+        "sla_breached",
+    )
+
+
+TABLES = ["dim_customer", "dim_site", "dim_service", "sla_target", "outage_incident"]
+
+
+def _loaded(desk: Desk) -> dict[str, DataFrame]:
+    return {
+        "dim_customer": desk.customers,
+        "dim_site": desk.sites,
+        "dim_service": desk.services,
+        "sla_target": desk.targets,
+        "outage_incident": desk.outages,
+        "fact_ticket": desk.tickets.select(*enrich.FACT_COLUMNS),
+        "fact_ticket_status_history": desk.history,
+        "ticket_risk_score": desk.scores,
+    }
+
+
+def load_table_counts(desk: Desk) -> DataFrame:
+    root = f"{shared_root(_spark(desk))}/loaded"
+    rows = [(n, tables.load_table(df, f"{root}/{n}")) for n, df in _loaded(desk).items()]
+    return _spark(desk).createDataFrame(rows, "table_name string, rows bigint")
+
+
+def load_run_latest(desk: Desk) -> DataFrame:
+    """Append two audit rows, then read the latest snapshot and its counts."""
+    spark = _spark(desk)
+    path = f"{shared_root(spark)}/load_run"
+    counts = {r[0]: r[1] for r in quality.table_counts(_loaded(desk)).collect()}
+    cleaned = desk.get("cleaned").report().filter("detail = ''")
+    summary = {r[0]: r[2] for r in cleaned.collect()}
+    for snapshot in (datetime(2001, 6, 1), desk.snapshot):
+        record = tables.load_run(spark, snapshot, "testdata", counts, summary)
+        tables.append_load_run(record, path)
+    loads = spark.read.schema(tables.TABLES["load_run"]).parquet(path)
+    latest = F.lit(tables.latest_snapshot(loads))
+    return (
+        loads.filter(F.col("snapshot_ts") == latest)
+        .select("snapshot_ts", "source_dir", "synthetic", F.explode("row_counts"))
+        .select(
+            "snapshot_ts",
+            "source_dir",
+            "synthetic",
+            F.col("key").alias("table_name"),
+            F.col("value").alias("rows"),
+        )
+        .distinct()
+    )
+
+
+def overwritten_scores(desk: Desk) -> DataFrame:
+    path = f"{shared_root(_spark(desk))}/ticket_risk_score"
+    for _ in range(2):
+        tables.overwrite_scores(desk.scores, path)
+    back = _spark(desk).read.parquet(path)
+    return back.groupBy("model_version", "risk_band", "split").agg(
+        F.count(F.lit(1)).alias("tickets")
+    )
+
 
+def extract_manifest(desk: Desk) -> DataFrame:
+    out = f"{shared_root(_spark(desk))}/extracts"
+    return extracts.export_extracts(desk, out).drop("bytes")
 
-VIEW_QUERIES = {
+
+def view_registry(desk: Desk) -> DataFrame:
+    """Register views and answer a question about them in SQL."""
+    names = ["v_sla_compliance_monthly", "v_risk_band_summary", "v_outage_vs_normal"]
+    views.register_views(desk, names)
+    return _spark(desk).sql(
+        """
+        SELECT 'compliance' AS source, service_type AS item, sum(tickets) AS tickets
+        FROM v_sla_compliance_monthly GROUP BY service_type
+        UNION ALL SELECT 'risk', risk_band, sum(tickets) FROM v_risk_band_summary GROUP BY risk_band
+        UNION ALL SELECT 'outage', CAST(during_outage AS STRING), tickets FROM v_outage_vs_normal
+        """
+    )
+
+
+# --- cleaning --------------------------------------------------------------------------
+
+
+def _unique(desk: Desk) -> DataFrame:
+    return cleaning.unique_tickets(desk.get("raw")["tickets"])
+
+
+def _bigint_id(df: DataFrame) -> DataFrame:
+    return df.withColumn("id", F.col("id").cast("bigint"))
+
+
+CLEANING: dict[str, Build] = {
+    "trimmed_text": lambda d: _unique(d).select("id", *cleaning.C.TEXT_COLUMNS[1:]),
+    "normalised_codes": lambda d: cleaning.normalise_tickets(_unique(d)).select(
+        "id", *cleaning.NORMALISED
+    ),
+    "normalised_cell_counts": lambda d: d.get("cleaned")
+    .report()
+    .filter("metric = 'categorical_cells_normalised'"),
+    "duplicate_rows": lambda d: _unique(d)
+    .filter("copies > 1")
+    .select("id", "copies", "variants", "status"),
+    "parsed_timestamps": lambda d: cleaning.normalise_tickets(_unique(d)).select(
+        "id", *cleaning.C.TICKET_TIMESTAMPS
+    ),
+    "imputed_priority": lambda d: cleaning.normalise_tickets(_unique(d)).select(
+        "id", "priority", "imputed"
+    ),
+    "numeric_defaults": lambda d: cleaning.normalise_tickets(_unique(d)).select(
+        "id", *cleaning.COUNTERS
+    ),
+    "rejected_tickets": lambda d: d.get("cleaned").rejected.select("id", "reject_reason"),
+    "domain_violations": lambda d: cleaning.normalise_tickets(_unique(d))
+    .select(
+        *[
+            F.count_if(cleaning.outside_domain(c, v)).alias(c)
+            for c, v in cleaning.C.TICKET_DOMAINS.items()
+        ]
+    ),
+    "unknown_dimension_keys": lambda d: d.get("cleaned")
+    .checked.filter("not known_keys")
+    .select("id", "customer_id", "site_id", "service_id"),
+    "clean_tickets": lambda d: d.get("cleaned").kept,
+    "clean_status_history": lambda d: d.get("cleaned_history").rows(),
+    "status_history_report": lambda d: d.get("cleaned_history").report(),
+    "cleaning_report": lambda d: d.get("cleaned").report(),
+    "constraint_audit": quality.constraint_audit,
+    "reconcile_counts": lambda d: quality.reconcile_counts(
+        d.get("cleaned").report(), d.get("cleaned").kept
+    ),
+}
+
+
+# --- enrichment ------------------------------------------------------------------------
+
+
+def local_time(desk: Desk) -> DataFrame:
+    return desk.tickets.select(
+        "ticket_id",
+        "creation_hour_local",
+        "creation_dow_local",
+        "is_weekend",
+        "is_after_hours",
+        "has_requested_resolution_date",
+        "creation_month",
+    )
+
+
+def sla_outcomes(desk: Desk) -> DataFrame:
+    return desk.tickets.select(
+        "ticket_id", _dbl("sla_target_hours"), _dbl("resolution_hours"), "is_resolved",
+        "sla_breached",
+    )
+
+
+def code_labels(desk: Desk) -> DataFrame:
+    """Distinct codes with their labels."""
+    t = desk.tickets
+    kinds = [
+        ("service_type", labels.service_label("code")),
+        ("channel", labels.channel_label("code")),
+        ("assignment_group", labels.group_label("code")),
+        ("industry", labels.humanise("code")),
+        ("ticket_type", labels.humanise("code")),
+        ("region", labels.humanise("code")),
+        ("split", labels.split_label("code")),
+    ]
+    parts = [
+        t.select(F.col(c).alias("code"))
+        .distinct()
+        .select(F.lit(c).alias("kind"), "code", label.alias("label"))
+        for c, label in kinds
+    ]
+    cause = desk.outages.select(F.col("cause").alias("code")).distinct()
+    parts.append(cause.select(F.lit("cause").alias("kind"), "code", labels.humanise("code").alias("label")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+ENRICHMENT: dict[str, Build] = {
+    "joined_dimensions": lambda d: d.tickets.select(
+        "ticket_id", "customer_name", "tier", "industry", "city", "province", "region",
+        "service_type",
+    ),
+    "local_time_features": local_time,
+    "sla_outcomes": sla_outcomes,
+    "active_outage": lambda d: d.tickets.select(
+        "ticket_id", "active_outage_id", enrich.has_active_outage().alias("has_active_outage")
+    ),
+    "open_backlog_at_creation": lambda d: d.tickets.select("ticket_id", "open_backlog_at_creation"),
+    "first_end": lambda d: enrich.first_end(d.history),
+    "sequenced_history": lambda d: d.history.select("ticket_id", "sequence_no", "status", "change_ts"),
+    "latest_status": lambda d: enrich.latest_status(d.history),
+    "reopen_counts": lambda d: enrich.reopen_counts(d.history),
+    "ever_pending": findings.pending_split,
+    "code_labels": code_labels,
+    "site_locations": lambda d: extracts.locate(d.sites).select(
+        "site_id", "city", "province", labels.province_name("province").alias("province_name"),
+        "latitude", "longitude",
+    ),
+    "unmatched_cities": lambda d: extracts.unmatched_cities(d.sites),
+    "sla_outcome_labels": lambda d: d.tickets.groupBy(
+        labels.sla_outcome_label("status", "sla_breached").alias("sla_outcome")
+    ).agg(F.count(F.lit(1)).alias("tickets")),
+    "age_bands": lambda d: open_rows(d.tickets, AS_OF).select(
+        "ticket_id", "age_seconds", "age_bucket", "bucket_order"
+    ),
+    "time_split": lambda d: d.tickets.groupBy("split", "creation_month").agg(
+        F.count(F.lit(1)).alias("tickets")
+    ),
+}
+
+
+# --- views -----------------------------------------------------------------------------
+
+VIEW_QUERIES: dict[str, Build] = {
     "sla_compliance_monthly": views.sla_compliance_monthly,
     "backlog_ageing_at": lambda d: views.backlog_ageing(d, AS_OF),
     "backlog_ageing_monthly": views.backlog_ageing_monthly,
@@ -38,4 +300,175 @@ VIEW_QUERIES = {
     "weekly_kpi_by_service": views.weekly_kpi_by_service,
 }
 
-QUERIES: dict[str, Query] = {name: _on_desk(fn) for name, fn in VIEW_QUERIES.items()}
+
+# --- weekly report ---------------------------------------------------------------------
+
+REPORT: dict[str, Build] = {
+    "available_weeks": report.available_weeks,
+    "kpi_trend": lambda d: report.kpi_trend(d, WEEK),
+    "kpi_summary": lambda d: report.kpi_summary(d, WEEK),
+    "customer_week": lambda d: report.customer_week(d, WEEK),
+    "service_week": lambda d: report.service_week(d, WEEK),
+    "open_by_customer": lambda d: report.open_aggregates(
+        d, "customer_id", report.week_end_instant(WEEK)
+    ),
+    "customer_week_totals": lambda d: report.totals_row(report.customer_week(d, WEEK)),
+    "ageing_matrix_by_group": lambda d: report.ageing_matrix(d, "assignment_group", WEEK),
+    "ageing_matrix_by_service": lambda d: report.ageing_matrix(d, "service_type", WEEK),
+    "at_risk_top_n": lambda d: report.at_risk_top_n(d, WEEK),
+    "report_provenance": lambda d: report.provenance(d, "testdata"),
+}
+
+
+# --- extracts and dashboard ------------------------------------------------------------
+
+EXTRACTS: dict[str, Build] = {
+    "extract_fact_ticket": extracts.fact_extract,
+    "extract_monthly_compliance": extracts.monthly_compliance_extract,
+    "extract_backlog_ageing": extracts.backlog_extract,
+    "extract_risk_deciles": extracts.risk_deciles,
+    "extract_weekly_kpi": extracts.weekly_extract,
+    "extract_dim_customer": extracts.customer_extract,
+    "extract_dim_site": extracts.site_extract,
+    "extract_dim_service": extracts.service_extract,
+    "extract_dim_outage": extracts.outage_extract,
+    "dashboard_kpis": extracts.dashboard_kpis,
+    "dashboard_kpis_filtered": lambda d: extracts.dashboard_kpis(
+        d, tier="gold", region="ASIA", created=(date(1998, 1, 1), date(2000, 6, 30))
+    ),
+    "weekly_volume": extracts.weekly_volume,
+    "compliance_heatmap": lambda d: extracts.compliance_heatmap(d, SERVICE_TYPES),
+    "backlog_area": extracts.backlog_area,
+    "calibration_gap": extracts.calibration_gap,
+    "city_map": extracts.city_map,
+    "customer_drilldown": extracts.customer_drilldown,
+    "probability_bins": extracts.probability_bins,
+    "weekly_compliance": extracts.weekly_compliance,
+}
+
+
+# --- scores and metrics ----------------------------------------------------------------
+
+
+def labelled_rows(desk: Desk, split: str) -> DataFrame:
+    """Scored tickets of a split with ``y`` and ``p`` (the stored probability)."""
+    rows = desk.tickets.filter(F.col("split") == split)
+    return rows.select(
+        "ticket_id",
+        "tier",
+        "service_type",
+        F.col("sla_breached").cast("int").alias("y"),
+        F.col("probability").alias("p"),
+    )
+
+
+def score_thresholds(desk: Desk) -> DataFrame:
+    cuts = desk.get("thresholds")
+    rows = [("medium", round(cuts.medium, 6)), ("high", round(cuts.high, 6))]
+    return _spark(desk).createDataFrame(rows, "band string, threshold double")
+
+
+def review_flags(desk: Desk) -> DataFrame:
+    cut = round(desk.get("thresholds").high, 6)
+    return desk.scores.groupBy(
+        "split", scoring.flag_for_review("probability", cut).alias("flag_for_review")
+    ).agg(F.count(F.lit(1)).alias("tickets"))
+
+
+def threshold_metrics(desk: Desk) -> DataFrame:
+    cuts = {"review": round(desk.get("thresholds").high, 6), "half": 0.5}
+    return metrics.rounded(metrics.at_thresholds(labelled_rows(desk, "test"), cuts))
+
+
+def constant_baseline(desk: Desk) -> DataFrame:
+    """Test metrics of a constant prediction, the training breach rate."""
+    rate = labelled_rows(desk, "train").agg(F.avg(F.col("y").cast("double"))).first()[0]
+    test = labelled_rows(desk, "test").withColumn("p", F.lit(rate))
+    out = metrics.ranking_metrics(test)
+    # A constant ranks nothing: its average precision is the prevalence.
+    return metrics.rounded(out)
+
+
+SCORES: dict[str, Build] = {
+    "training_rows": lambda d: enrich_training(d),
+    "split_summary": lambda d: split_summary(d),
+    "score_thresholds": score_thresholds,
+    "score_table": lambda d: d.scores,
+    "review_flags": review_flags,
+    "ranking_metrics": lambda d: metrics.rounded(metrics.ranking_metrics(labelled_rows(d, "test"))),
+    "threshold_metrics": threshold_metrics,
+    "top_share_table": lambda d: metrics.rounded(
+        metrics.top_share_table(labelled_rows(d, "test"), "ticket_id")
+    ),
+    "reliability_table": lambda d: metrics.rounded(
+        metrics.reliability_table(labelled_rows(d, "test"), "ticket_id")
+    ),
+    "calibration_error": lambda d: metrics.rounded(
+        metrics.expected_calibration_error(
+            metrics.reliability_table(labelled_rows(d, "test"), "ticket_id")
+        )
+    ),
+    "segment_metrics_tier": lambda d: metrics.rounded(
+        metrics.segment_metrics(
+            labelled_rows(d, "test"), "tier", round(d.get("thresholds").high, 6)
+        )
+    ),
+    "segment_metrics_service": lambda d: metrics.rounded(
+        metrics.segment_metrics(
+            labelled_rows(d, "test"), "service_type", round(d.get("thresholds").high, 6)
+        )
+    ),
+    "constant_baseline": constant_baseline,
+}
+
+
+def enrich_training(desk: Desk) -> DataFrame:
+    rows = desk.tickets.filter(enrich.labelled())
+    return rows.select("ticket_id", F.col("sla_breached").cast("int").alias("y"), "split")
+
+
+def split_summary(desk: Desk) -> DataFrame:
+    """Rows, breaches, rate and month span per split; an empty split is an error at training."""
+    rows = desk.tickets.filter(enrich.labelled())
+    month = F.date_format("creation_ts", "yyyy-MM")
+    agg = rows.groupBy("split").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if("sla_breached").alias("breached"),
+        F.min(month).alias("first_month"),
+        F.max(month).alias("last_month"),
+    )
+    rate = F.round(F.col("breached") / F.col("rows"), 6)
+    return agg.withColumn("breach_rate", rate)
+
+
+# --- findings --------------------------------------------------------------------------
+
+FINDINGS: dict[str, Build] = {
+    "breach_by_time_of_day": findings.breach_by_time_of_day,
+    "breach_by_backlog_quintile": findings.breach_by_backlog_quintile,
+    "breach_by_dimension": findings.breach_by_dimension,
+    "breach_by_month": findings.breach_by_month,
+    "outage_flag_agreement": findings.outage_flag_agreement,
+}
+
+SOURCES: dict[str, Build] = {
+    "raw_extract_counts": raw_extract_counts,
+    "snapshot_of_extract": snapshot_of_extract,
+    "processed_roundtrip": processed_roundtrip,
+    "load_table_counts": load_table_counts,
+    "load_run_latest": load_run_latest,
+    "overwritten_scores": overwritten_scores,
+    "extract_manifest": extract_manifest,
+    "view_registry": view_registry,
+}
+
+
+def _on_desk(build: Build) -> Query:
+    return lambda spark, sf_dir: build(testdata_desk(spark, sf_dir))
+
+
+GROUPS = [VIEW_QUERIES, SOURCES, CLEANING, ENRICHMENT, REPORT, EXTRACTS, SCORES, FINDINGS]
+
+QUERIES: dict[str, Query] = {
+    name: _on_desk(build) for group in GROUPS for name, build in group.items()
+}

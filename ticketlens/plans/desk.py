@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 from typing import Any
@@ -10,17 +11,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlens.operators.openat import MonthGrid, WeekGrid
-from ticketlens.operators.staging import stage
+from ticketlens.operators.staging import shared_root, stage
+from ticketlens.plans.cleaning import (
+    CleanedHistory,
+    clean_status_history,
+    clean_tickets,
+    parse_instant,
+    staged,
+)
 from ticketlens.plans.enrich import (
     attach_active_outage,
     attach_scores,
     enrich,
     number_changes,
     open_backlog_at_event,
+    outcomes,
     split_of,
 )
 from ticketlens.plans.scoring import Thresholds, score_table, select_thresholds
 from ticketlens.sources import testdata
+from ticketlens.sources.dirty import dirty_history, dirty_tickets
+from ticketlens.sources.raw import (
+    ORDER,
+    read_metadata,
+    read_raw,
+    resolve_snapshot,
+    write_metadata,
+    write_raw_table,
+)
 
 
 class Desk:
@@ -127,15 +145,17 @@ def _new_desk(spark: SparkSession, sf_dir: str) -> Desk:
             "outages": lambda d: testdata.outages(spark),
             "base": lambda d: stage(testdata.base_tickets(spark, sf_dir), "base"),
             "clean": _clean,
-            "wide": lambda d: stage(
-                enrich(d.get("clean"), d.customers, d.sites, d.services, d.targets, d.snapshot),
-                "wide",
+            "wide": lambda d: enrich(
+                d.get("clean"), d.customers, d.sites, d.services, d.targets, d.snapshot
+            ),
+            "outcomes": lambda d: outcomes(
+                d.get("base"), d.customers, d.targets, d.snapshot
             ),
             "predictions": _predictions,
             "thresholds": _thresholds,
             "scores": lambda d: stage(
                 score_table(
-                    d.get("wide"),
+                    d.get("outcomes"),
                     d.get("predictions"),
                     d.get("thresholds"),
                     testdata.MODEL_VERSION,
@@ -146,6 +166,23 @@ def _new_desk(spark: SparkSession, sf_dir: str) -> Desk:
                 cluster_by_creation(attach_scores(d.get("wide"), d.scores)), "tickets"
             ),
             "history": _history,
+            "raw_dir": _raw_dir,
+            "raw": lambda d: read_raw(spark, d.get("raw_dir")),
+            "cleaned": lambda d: staged(
+                clean_tickets(
+                    d.get("raw")["tickets"],
+                    (d.get("raw")["customers"], d.get("raw")["sites"], d.get("raw")["services"],
+                     d.get("raw")["outages"]),
+                )
+            ),
+            "cleaned_history": lambda d: CleanedHistory(
+                stage(
+                    clean_status_history(
+                        d.get("raw")["status_history"], d.get("cleaned").kept
+                    ).checked,
+                    "checked_history",
+                )
+            ),
             "snapshot": lambda d: testdata.SNAPSHOT,
         }
     )
@@ -174,11 +211,77 @@ def _predictions(desk: Desk) -> DataFrame:
 
 
 def _thresholds(desk: Desk) -> Thresholds:
-    known = desk.get("wide").filter("is_resolved and sla_breached is not null")
+    known = desk.get("outcomes").filter("is_resolved and sla_breached is not null")
     rows = known.filter(split_of("creation_ts") == "validation").select("ticket_id")
     return select_thresholds(rows.join(desk.get("predictions"), "ticket_id"))
 
 
+def _raw_dir(desk: Desk) -> str:
+    """A dirty raw extract of the same tickets, written as CSV files."""
+    spark = desk.tickets.sparkSession
+    path = f"{shared_root(spark)}/raw-{uuid.uuid4().hex}"
+    stamp = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+    times = {f"{e}_date": F.date_format(f"{e}_ts", stamp) for e in ("start", "end")}
+    write_raw_table(desk.customers, path, "customers")
+    write_raw_table(desk.sites, path, "sites")
+    write_raw_table(desk.services, path, "services")
+    write_raw_table(desk.targets, path, "sla_targets")
+    write_raw_table(desk.outages.withColumns(times), path, "outages")
+    write_raw_table(dirty_tickets(desk.get("clean")), path, "tickets", [ORDER])
+    history = dirty_history(testdata.raw_history(desk.get("base")))
+    write_raw_table(history, path, "status_history", [ORDER])
+    write_metadata(spark, {"params": {"end": f"{testdata.SNAPSHOT:%Y-%m-%d}"}}, path)
+    return path
+
+
+def load_extract(spark: SparkSession, raw_dir: str) -> Desk:
+    """Raw extract folder -> desk: clean, check, enrich, number the history, audit."""
+    raw = read_raw(spark, raw_dir)
+    dims = (raw["customers"], raw["sites"], raw["services"], raw["outages"])
+    cleaned = staged(clean_tickets(raw["tickets"], dims))
+    snapshot = resolve_snapshot(read_metadata(spark, raw_dir), cleaned.kept)
+    targets = raw["sla_targets"].withColumn(
+        "target_hours", F.col("target_hours").cast("decimal(8,2)")
+    )
+    services = raw["services"].withColumn("bandwidth_mbps", F.col("bandwidth_mbps").try_cast("int"))
+    outages = raw["outages"].select(
+        "outage_id",
+        "region",
+        "service_type",
+        parse_instant("start_date").alias("start_ts"),
+        parse_instant("end_date").alias("end_ts"),
+        "cause",
+    )
+    history = CleanedHistory(
+        stage(clean_status_history(raw["status_history"], cleaned.kept).checked, "checked_history")
+    )
+    wide = enrich(cleaned.kept, raw["customers"], raw["sites"], raw["services"], targets, snapshot)
+    unscored = wide.withColumns(
+        {
+            "model_version": F.lit(None).cast("string"),
+            "probability": F.lit(None).cast("double"),
+            "risk_band": F.lit(None).cast("string"),
+            "split": F.lit(None).cast("string"),
+        }
+    )
+    return Desk(
+        {
+            "customers": lambda d: raw["customers"],
+            "sites": lambda d: raw["sites"],
+            "services": lambda d: services,
+            "targets": lambda d: targets,
+            "outages": lambda d: outages,
+            "cleaned": lambda d: cleaned,
+            "cleaned_history": lambda d: history,
+            "tickets": lambda d: stage(cluster_by_creation(unscored), "tickets"),
+            "history": lambda d: stage(
+                history.rows().withColumnRenamed("change_date", "change_ts"), "history"
+            ),
+            "snapshot": lambda d: snapshot,
+        }
+    )
+
+
 def _history(desk: Desk) -> DataFrame:
     raw = testdata.raw_history(desk.get("base"))
     numbered = number_changes(raw, "ticket_id", "change_date", "step")

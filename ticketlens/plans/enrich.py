@@ -240,6 +240,15 @@ def enrich(
     return wide.select(*FACT_COLUMNS, *WIDE_EXTRAS)
 
 
+def outcomes(
+    tickets: DataFrame, customers: DataFrame, targets: DataFrame, snapshot: datetime
+) -> DataFrame:
+    """(ticket_id, creation_ts, is_resolved, sla_breached): what splits and labels need."""
+    tiers = tickets.join(customers.select("customer_id", "tier"), "customer_id", "left")
+    known = add_outcome(add_sla_target(tiers, targets), snapshot).withColumnsRenamed(RENAMES)
+    return known.select("ticket_id", "creation_ts", "is_resolved", "sla_breached")
+
+
 def attach_scores(tickets: DataFrame, scores: DataFrame) -> DataFrame:
     """Left join of the score table, done once per scoring so that views need no join."""
     cols = scores.select("ticket_id", "model_version", "probability", "risk_band", "split")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import report_sql, tables_sql, views_sql
+from checks import model_sql, report_sql, tables_sql, views_sql
 
-MODULES = [views_sql, tables_sql, report_sql]
+MODULES = [views_sql, tables_sql, report_sql, model_sql]
 
 
 def all_sql() -> dict[str, str]:

@@ -9,12 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlens.functions import labels
-from ticketlens.operators import metrics
+from ticketlens.operators import encoding, metrics
 from ticketlens.operators.openat import open_rows
-from ticketlens.operators.staging import shared_root
-from ticketlens.plans import cleaning, enrich, extracts, findings, quality, report, scoring, views
+from ticketlens.operators.staging import shared_root, stage
+from ticketlens.plans import (
+    cleaning,
+    enrich,
+    extracts,
+    findings,
+    quality,
+    report,
+    scoring,
+    training,
+    views,
+)
+from ticketlens.plans import features as FT
 from ticketlens.plans.desk import Desk, testdata_desk
-from ticketlens.sources import raw, tables
+from ticketlens.sources import raw, tables, testdata
 
 Query = Callable[[SparkSession, str], DataFrame]
 Build = Callable[[Desk], DataFrame]
@@ -463,11 +474,251 @@ SOURCES: dict[str, Build] = {
 }
 
 
+# --- model -----------------------------------------------------------------------------
+
+QUICK = {"maxIter": 5, "maxDepth": 3}
+
+
+def feature_rows(desk: Desk) -> DataFrame:
+    return FT.project_features(desk.tickets, ["ticket_id"])
+
+
+def model_rows(desk: Desk) -> DataFrame:
+    """Labelled tickets: features, y, split and the columns that probes need; staged once."""
+    if "model_rows" not in desk._built:
+        rows = desk.tickets.filter(enrich.labelled()).withColumns(
+            {
+                "y": F.col("sla_breached").cast("int"),
+                "resolution_hours": F.col("resolution_hours").cast("double"),
+            }
+        )
+        keep = ["ticket_id", "y", "split", "site_id", "service_id", "reopen_count", "resolution_hours"]
+        prepared = FT.prepare_features(rows, testdata.FEATURE_LEVELS, keep)
+        desk._built["model_rows"] = stage(prepared, "model_rows")
+    return desk._built["model_rows"]
+
+
+def _parts(desk: Desk) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = model_rows(desk)
+    training.check_splits(rows)
+    train, valid, test = (
+        rows.filter(F.col("split") == s).drop("split") for s in ("train", "validation", "test")
+    )
+    return train, valid, test
+
+
+def record_errors(desk: Desk) -> DataFrame:
+    """Text records with one defect per id modulo 1000, and the errors found in them."""
+    slot = F.col("ticket_id") % 1000
+    text = FT.project_features(desk.tickets, ["ticket_id"]).select(
+        "ticket_id", *[F.col(c).cast("string").alias(c) for c in FT.FEATURES]
+    )
+    edits = [
+        (11, "severity", None), (12, "severity", "urgent"), (13, "channel", "fax"),
+        (14, "priority", "5"), (15, "priority", "0"), (16, "creation_hour_local", "24"),
+        (17, "creation_dow_local", "-1"), (21, "open_backlog_at_creation", "-3"),
+        (22, "sla_target_hours", "0"), (23, "priority", "two"),
+        (24, "has_active_outage", "maybe"), (25, "customer_id", ""),
+    ]
+    for number, column, value in edits:
+        text = text.withColumn(
+            column, F.when(slot == number, F.lit(value)).otherwise(F.col(column))
+        )
+    text = text.withColumns(
+        {
+            "sla_breached": F.when(slot == 26, "true"),
+            "reopen_count": F.when(slot == 27, "1"),
+        }
+    )
+    records = stage(text, "records")
+    checked = FT.validate_records(records, "ticket_id", testdata.FEATURE_LEVELS)
+    return FT.split_valid(checked, "ticket_id")[1]
+
+
+def _fitted_encoders(desk: Desk, spec: training.Spec):
+    train, valid, test = _parts(desk)
+    stages = training._stages(spec)
+    model = training.Pipeline(stages=stages).fit(training._inputs(train, spec))
+    later = training._inputs(valid.unionByName(test), spec)
+    return model, model.transform(later)
+
+
+def one_hot_levels(desk: Desk) -> DataFrame:
+    """Validation and test rows per hot level of each category; unseen levels are all zeros."""
+    cats = list(testdata.FEATURE_LEVELS)
+    spec = training.Spec(categorical=tuple(cats))
+    model, out = _fitted_encoders(desk, spec)
+    names = dict(zip(cats, model.stages[0].labelsArray))
+    entries = []
+    for c in cats:
+        hot = F.array_position(training.vector_to_array(f"{c}_oh"), F.lit(1.0))
+        known = F.array(*[F.lit(x) for x in names[c]])
+        level = F.when(hot > 0, F.try_element_at(known, hot.cast("int")))
+        entries.append(F.struct(F.lit(c).alias("feature"), level.alias("level")))
+    long = out.select(F.inline(F.array(*entries)))
+    return long.groupBy("feature", "level").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def scaled_numerics(desk: Desk) -> DataFrame:
+    """Mean and sd of the training-scaled numbers on validation and test rows."""
+    spec = training.Spec(categorical=())
+    _, out = _fitted_encoders(desk, spec)
+    values = training.vector_to_array("scaled")
+    numbers = [*training.OTHER_NUMERIC, *training.TIME]
+    entries = [
+        F.struct(F.lit(c).alias("feature"), values[i].alias("v")) for i, c in enumerate(numbers)
+    ]
+    long = out.select(F.inline(F.array(*entries)))
+    return long.groupBy("feature").agg(
+        F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("sd")
+    )
+
+
+def cyclical_time(desk: Desk) -> DataFrame:
+    cols = encoding.cyclical()
+    return desk.tickets.select(
+        "ticket_id", *[(F.round(c, 6) + 0.0).alias(n) for n, c in cols.items()]
+    )
+
+
+def ordinal_codes(desk: Desk) -> DataFrame:
+    """Code of each level among the training levels in alphabetical order; unseen = -1."""
+    cats = [*testdata.FEATURE_LEVELS, "customer_id"]
+    spec = training.Spec(family="gbt", categorical=tuple(cats))
+    model, out = _fitted_encoders(desk, spec)
+    entries = []
+    for c, known in zip(cats, model.stages[0].labelsArray):
+        index = F.col(f"{c}_ix").cast("int")
+        code = F.when(index == len(known), -1).otherwise(index)
+        entries.append(
+            F.struct(F.lit(c).alias("feature"), F.col(c).alias("level"), code.alias("code"))
+        )
+    long = out.select(F.inline(F.array(*entries)))
+    return long.groupBy("feature", "level", "code").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def target_encoding(desk: Desk) -> DataFrame:
+    """Customer codes: cross-fitted for training rows, full statistics for the others."""
+    train, valid, test = _parts(desk)
+    inside = encoding.cross_fit_encode(train, "customer_id", "ticket_id", "code")
+    stats = encoding.level_statistics(train, "customer_id")
+    later = encoding.encode_with(valid.unionByName(test), "customer_id", stats, "code")
+    both = inside.select("ticket_id", "code").unionByName(later.select("ticket_id", "code"))
+    return both.select("ticket_id", F.round("code", 6).alias("code"))
+
+
+def _frame(desk: Desk, rows: list[dict], schema: str) -> DataFrame:
+    names = [part.split()[0] for part in schema.split(", ")]
+    data = [tuple(r.get(n) if n != "params" else str(r.get(n)) for n in names) for r in rows]
+    return _spark(desk).createDataFrame(data, schema)
+
+
+METRICS = "roc_auc double, pr_auc double, brier double, log_loss double"
+
+
+def model_grid(desk: Desk) -> DataFrame:
+    train, valid, _ = _parts(desk)
+    rows, _, winner = training.tune(
+        train, valid, training.QUICK_LR_GRID, training.QUICK_GBT_GRID
+    )
+    for r in rows:
+        r["chosen"] = r["model"] == winner
+    return _frame(desk, rows, f"model string, params string, chosen boolean, {METRICS}")
+
+
+def feature_experiments(desk: Desk) -> DataFrame:
+    train, valid, _ = _parts(desk)
+    specs = training.experiment_specs({"maxIter": 2, "maxDepth": 3}, {"maxIter": 10})
+    rows = training.run_experiments(train, valid, specs)
+    return _frame(desk, rows, f"group string, variant string, model string, {METRICS}")
+
+
+def _quick_model(desk: Desk) -> training.BreachModel:
+    if "quick_model" not in desk._built:
+        train, valid, _ = _parts(desk)
+        counts = training.check_splits(model_rows(desk))
+        spec = training.Spec(params=training.QUICK_LR_GRID[0])
+        desk._built["quick_model"] = training.train_model(train, valid, spec, "lr-1", counts)
+    return desk._built["quick_model"]
+
+
+def model_scores(desk: Desk) -> DataFrame:
+    """Every ticket scored by a model that was saved and loaded again."""
+    spark = _spark(desk)
+    path = f"{shared_root(spark)}/model"
+    training.save_model(_quick_model(desk), spark, path)
+    model = training.load_model(spark, path)
+    scored = scoring.score_table(
+        desk.tickets, model.predict(feature_rows(desk)), model.cuts, model.card["model_version"]
+    )
+    return scored
+
+
+def model_test_metrics(desk: Desk) -> DataFrame:
+    _, _, test = _parts(desk)
+    return metrics.ranking_metrics(_quick_model(desk).predict(test))
+
+
+def permutation_importance(desk: Desk) -> DataFrame:
+    _, valid, _ = _parts(desk)
+    return training.permutation_importance(_quick_model(desk).fitted, valid, repeats=2)
+
+
+def leakage_checks(desk: Desk) -> DataFrame:
+    train, valid, test = _parts(desk)
+    rows = training.leakage_checks(train, valid, test, QUICK)
+    return _frame(desk, rows, f"probe string, {METRICS}")
+
+
+def resolve_time_baseline(desk: Desk) -> DataFrame:
+    train, _, test = _parts(desk)
+    base = training.median_baseline(train, test)
+    return metrics.rounded(
+        training.regression_errors(base, "pred", "resolution_hours", "ticket_id")
+    )
+
+
+def time_to_resolve(desk: Desk) -> DataFrame:
+    train, _, test = _parts(desk)
+    return training.time_to_resolve(train, test, QUICK)
+
+
+def bootstrap_intervals(desk: Desk) -> DataFrame:
+    reps = stage(
+        metrics.bootstrap_ranking(labelled_rows(desk, "test"), "ticket_id", 200), "bootstrap"
+    )
+    return metrics.confidence_interval(reps, "roc_auc").unionByName(
+        metrics.confidence_interval(reps, "pr_auc")
+    )
+
+
+MODEL: dict[str, Build] = {
+    "prepared_features": lambda d: FT.prepare_features(
+        d.tickets, testdata.FEATURE_LEVELS, ["ticket_id"]
+    ),
+    "record_errors": record_errors,
+    "one_hot_levels": one_hot_levels,
+    "scaled_numerics": scaled_numerics,
+    "cyclical_time": cyclical_time,
+    "ordinal_codes": ordinal_codes,
+    "target_encoding": target_encoding,
+    "resolve_time_baseline": resolve_time_baseline,
+    "model_grid": model_grid,
+    "feature_experiments": feature_experiments,
+    "model_scores": model_scores,
+    "model_test_metrics": model_test_metrics,
+    "permutation_importance": permutation_importance,
+    "leakage_checks": leakage_checks,
+    "time_to_resolve": time_to_resolve,
+    "bootstrap_intervals": bootstrap_intervals,
+}
+
+
 def _on_desk(build: Build) -> Query:
     return lambda spark, sf_dir: build(testdata_desk(spark, sf_dir))
 
 
-GROUPS = [VIEW_QUERIES, SOURCES, CLEANING, ENRICHMENT, REPORT, EXTRACTS, SCORES, FINDINGS]
+GROUPS = [VIEW_QUERIES, SOURCES, CLEANING, ENRICHMENT, REPORT, EXTRACTS, SCORES, FINDINGS, MODEL]
 
 QUERIES: dict[str, Query] = {
     name: _on_desk(build) for group in GROUPS for name, build in group.items()

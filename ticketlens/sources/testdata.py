@@ -38,6 +38,25 @@ OUTAGES = [
 ]
 
 
+# The closed feature levels of these tables, case-normalised.
+REGIONS = ["africa", "america", "asia", "europe", "middle east"]
+SERVICE_TYPES = ["economy", "large", "medium", "promo", "small", "standard"]
+FEATURE_LEVELS = {
+    "ticket_type": C.TICKET_TYPES,
+    "severity": C.SEVERITIES,
+    "channel": C.CHANNELS,
+    "tier": C.TIERS,
+    "industry": ["automobile", "building", "furniture", "household", "machinery"],
+    "region": REGIONS,
+    "province": [*sorted(C.PROVINCE_NAMES), "NU"],
+    "service_type": SERVICE_TYPES,
+    "assignment_group": [
+        *[f"field_{r.replace(' ', '_')}" for r in REGIONS],
+        "economy_ops", "large_ops", "promo_ops",
+    ],
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -140,10 +140,10 @@ def _new_desk(spark: SparkSession, sf_dir: str) -> Desk:
         {
             "customers": lambda d: testdata.customers(spark, sf_dir),
             "sites": lambda d: stage(testdata.sites(spark, sf_dir), "sites"),
-            "services": lambda d: testdata.services(spark, sf_dir),
+            "services": lambda d: stage(testdata.services(spark, sf_dir), "services"),
             "targets": lambda d: testdata.sla_targets(spark),
-            "outages": lambda d: testdata.outages(spark),
-            "base": lambda d: stage(testdata.base_tickets(spark, sf_dir), "base"),
+            "outages": lambda d: stage(testdata.outages(spark), "outages"),
+            "base": lambda d: stage(testdata.base_tickets(spark, sf_dir, d.sites), "base"),
             "clean": _clean,
             "wide": lambda d: enrich(
                 d.get("clean"), d.customers, d.sites, d.services, d.targets, d.snapshot

@@ -100,14 +100,21 @@ def sla_compliance_monthly(desk: Desk) -> DataFrame:
     base = not_cancelled(desk.tickets).withColumns(
         {"month": month_of("creation_ts"), "ticks": ticks()}
     )
-    keys = ["customer_id", "customer_name", "tier", "industry", "service_type", "month"]
     sums = {
         **outcome_sums(),
         "_use": F.when(F.col("is_resolved"), use).otherwise(F.lit(0).cast("bigint")),
     }
+    # Names and tier hang on the customer id, so they join the aggregated rows.
+    keys = ["customer_id", "service_type", "month"]
     agg = grouped_percentiles(base, keys, "ticks", {"p50": MEDIAN}, sums)
-    return agg.select(
-        *keys,
+    people = desk.customers.select("customer_id", "customer_name", "tier", "industry")
+    return agg.join(people, "customer_id").select(
+        "customer_id",
+        "customer_name",
+        "tier",
+        "industry",
+        "service_type",
+        "month",
         *OUTCOME_SUMS,
         compliance_pct("breached_tickets", "tickets_with_outcome").alias("sla_compliance_pct"),
         tick_hours("p50").alias("p50_resolution_hours"),
@@ -331,9 +338,9 @@ def outage_vs_normal(desk: Desk) -> DataFrame:
 
 def _customer_months(desk: Desk, since: date | None = None) -> DataFrame:
     """Customer x month with rolling and previous-month rates in hundredths of a percent."""
-    base = not_cancelled(desk.tickets)
-    keys = ["customer_id", "customer_name", "tier", "industry"]
-    monthly = base.groupBy(*keys, month_of("creation_ts").alias("month")).agg(
+    monthly = not_cancelled(desk.tickets).groupBy(
+        "customer_id", month_of("creation_ts").alias("month")
+    ).agg(
         F.count(F.lit(1)).alias("tickets"),
         F.count("sla_breached").alias("tickets_with_outcome"),
         count_where(F.col("sla_breached")).alias("breached_tickets"),
@@ -350,8 +357,9 @@ def _customer_months(desk: Desk, since: date | None = None) -> DataFrame:
     )
     if since is not None:
         moved = moved.filter(F.col("month") == F.lit(since))
-    return moved.select(
-        *keys,
+    people = desk.customers.select("customer_id", "customer_name", "tier", "industry")
+    return moved.join(people, "customer_id").select(
+        *people.columns,
         "month",
         "tickets",
         "tickets_with_outcome",
@@ -546,10 +554,11 @@ def weekly_kpi(desk: Desk, grid: WeekGrid | None = None) -> DataFrame:
         F.col("past_due_tickets").alias("backlog_past_due"),
         "high_risk_open",
     )
+    # Both sides hold at most one row per week of the grid: a proven bound for the broadcast.
     joined = (
         week_spine(spark, grid)
-        .join(flow, "week_start", "left")
-        .join(backlog, "backlog_as_of", "left")
+        .join(F.broadcast(flow), "week_start", "left")
+        .join(F.broadcast(backlog), "backlog_as_of", "left")
     )
     return joined.select(
         "week_start",

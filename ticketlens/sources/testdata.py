@@ -159,10 +159,10 @@ def deduplicated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def base_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def base_tickets(spark: SparkSession, sf_dir: str, sites: DataFrame) -> DataFrame:
     """Typed ticket columns plus the working columns that history and scores derive from."""
     snap = F.expr(f"timestamp_ntz'{SNAPSHOT:%Y-%m-%d %H:%M:%S}'")
-    site = sites(spark, sf_dir).select("site_id", "region")
+    site = sites.select("site_id", "region")
     raw = (
         deduplicated_lines(spark, sf_dir)
         .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))

@@ -203,10 +203,10 @@ def test_rounding_is_half_away_and_null_on_zero(spark):
 
 
 def test_labels(spark):
-    codes = ["financial_services", "sbc_ddos_fault", "o'neil-x2y", "sd_wan", None, "MIDDLE EAST"]
+    codes = ["financial_services", "sbc_ddos_fault", "o'neil-x2y", "sd_wan", None, "MIDDLE EAST", "in_progress"]
     df = spark.createDataFrame([(c,) for c in codes], "c string")
     assert [r[0] for r in df.select(humanise("c")).collect()] == [
-        "Financial Services", "SBC DDoS Fault", "O'Neil-X2Y", "SD WAN", None, "Middle East",
+        "Financial Services", "SBC DDoS Fault", "O'Neil-X2Y", "SD WAN", None, "Middle East", "In Progress",
     ]
     assert df.filter("c = 'sd_wan'").select(service_label("c")).first()[0] == "SD-WAN"
 

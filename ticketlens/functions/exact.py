@@ -66,6 +66,11 @@ def wide_ratio(num: Column, den: Column, digits: int) -> Column:
     return scaled(units, digits)
 
 
+def units(value: Column | str, per: int) -> Column:
+    """A value with few decimals in whole ``1 / per`` units, through doubles (fast path)."""
+    return F.floor(col(value).cast("double") * F.lit(float(per)) + F.lit(0.5))
+
+
 def count_where(cond: Column) -> Column:
     return F.count_if(cond)
 

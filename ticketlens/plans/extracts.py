@@ -59,7 +59,7 @@ def fact_extract(desk: Desk) -> DataFrame:
         _stamp("creation_ts").alias("Created At (UTC)"),
         F.col("customer_id").alias("Customer ID"),
         F.col("customer_name").alias("Customer"),
-        L.humanise("industry").alias("Industry"),
+        L.humanise("industry", C.COMMON_INDUSTRIES).alias("Industry"),
         F.col("site_id").alias("Site ID"),
         F.col("site_name").alias("Site"),
         F.col("city").alias("City"),
@@ -68,14 +68,14 @@ def fact_extract(desk: Desk) -> DataFrame:
         F.col("latitude").alias("Latitude"),
         F.col("longitude").alias("Longitude"),
         F.col("service_id").alias("Service ID"),
-        L.humanise("tier").alias("Tier"),
-        L.humanise("region").alias("Region"),
+        L.humanise("tier", C.TIERS).alias("Tier"),
+        L.humanise("region", C.COMMON_REGIONS).alias("Region"),
         L.service_label("service_type").alias("Service Type"),
         L.group_label("assignment_group").alias("Assignment Group"),
-        L.humanise("severity").alias("Severity"),
-        L.humanise("ticket_type").alias("Ticket Type"),
+        L.humanise("severity", C.SEVERITIES).alias("Severity"),
+        L.humanise("ticket_type", C.TICKET_TYPES).alias("Ticket Type"),
         L.channel_label("channel").alias("Channel"),
-        L.humanise("status").alias("Status"),
+        L.humanise("status", C.STATUSES).alias("Status"),
         F.when(F.col("active_outage_id").isNotNull(), "Yes").otherwise("No").alias("During Outage"),
         F.coalesce(F.col("active_outage_id"), F.lit("")).alias("Outage ID"),
         F.col("sla_target_hours").cast("double").alias("SLA Target Hours"),
@@ -97,8 +97,8 @@ def monthly_compliance_extract(desk: Desk) -> DataFrame:
         _day("month").alias("Month"),
         F.col("customer_id").alias("Customer ID"),
         F.col("customer_name").alias("Customer"),
-        L.humanise("tier").alias("Tier"),
-        L.humanise("industry").alias("Industry"),
+        L.humanise("tier", C.TIERS).alias("Tier"),
+        L.humanise("industry", C.COMMON_INDUSTRIES).alias("Industry"),
         L.service_label("service_type").alias("Service Type"),
         F.col("tickets").alias("Tickets"),
         F.col("resolved_tickets").alias("Resolved Tickets"),
@@ -207,8 +207,8 @@ def customer_extract(desk: Desk) -> DataFrame:
     return desk.customers.select(
         F.col("customer_id").alias("Customer ID"),
         F.col("customer_name").alias("Customer"),
-        L.humanise("industry").alias("Industry"),
-        L.humanise("tier").alias("Tier"),
+        L.humanise("industry", C.COMMON_INDUSTRIES).alias("Industry"),
+        L.humanise("tier", C.TIERS).alias("Tier"),
         F.col("hq_province").alias("HQ Province"),
         L.province_name("hq_province").alias("HQ Province Name"),
     )
@@ -222,7 +222,7 @@ def site_extract(desk: Desk) -> DataFrame:
         F.col("city").alias("City"),
         F.col("province").alias("Province"),
         L.province_name("province").alias("Province Name"),
-        L.humanise("region").alias("Region"),
+        L.humanise("region", C.COMMON_REGIONS).alias("Region"),
         F.col("latitude").alias("Latitude"),
         F.col("longitude").alias("Longitude"),
     )
@@ -243,7 +243,7 @@ def outage_extract(desk: Desk) -> DataFrame:
     return views.outage_impact(desk).select(
         F.col("outage_id").alias("Outage ID"),
         L.humanise("cause").alias("Cause"),
-        L.humanise("region").alias("Region"),
+        L.humanise("region", C.COMMON_REGIONS).alias("Region"),
         L.service_label("service_type").alias("Service Type"),
         _stamp("start_ts").alias("Start (UTC)"),
         _stamp("end_ts").alias("End (UTC)"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlens.constants import AGE_BANDS
-from ticketlens.functions.exact import big, ratio, wide_ratio
+from ticketlens.functions.exact import big, ratio, units, wide_ratio
 from ticketlens.operators.openat import WeekGrid
 from ticketlens.operators.percentile import MEDIAN, grouped_percentiles
 from ticketlens.plans import views
@@ -188,7 +188,7 @@ def ageing_matrix(desk: Desk, key: str, week_ending: date | None = None) -> Data
     """Open tickets by key and age band at the week end, with a total row (key NULL)."""
     week = check_week(desk, week_ending)
     held = views.open_tickets(desk, week_end_instant(week)).withColumn(
-        "age_cents", F.round(F.col("age_hours") * 100).cast("bigint")
+        "age_cents", units("age_hours", 100)
     )
     sums = {
         **{band: flag(F.col("age_bucket") == band) for band in AGE_BANDS},

@@ -24,6 +24,7 @@ from ticketlens.functions.exact import (
     ratio,
     scaled,
     seconds,
+    units,
     week_of,
     wide_ratio,
 )
@@ -59,7 +60,7 @@ def flag(cond: Column | str) -> Column:
 
 def ticks(hours: str = "resolution_hours") -> Column:
     """A four-decimal hour column in whole ten-thousandths."""
-    return (F.col(hours) * 10_000).cast("bigint")
+    return units(hours, 10_000)
 
 
 def urgent() -> Column:
@@ -95,7 +96,7 @@ def outcome_sums() -> dict[str, Column]:
 def sla_compliance_monthly(desk: Desk) -> DataFrame:
     """Customer x service type x creation month; unknown outcomes leave the denominator."""
     # hours / target per ticket in 1e-9 units, rounded; only resolved tickets contribute.
-    target = (F.col("sla_target_hours") * 100).cast("bigint")
+    target = units("sla_target_hours", 100)
     use = idiv(F.col("ticks") * 20_000_000 + target, target * 2)
     base = not_cancelled(desk.tickets).withColumns(
         {"month": month_of("creation_ts"), "ticks": ticks()}
@@ -208,7 +209,7 @@ def resolution_stats(desk: Desk) -> DataFrame:
     compact = base.groupBy(*dims, "ticks").agg(
         F.count(F.lit(1)).alias("n"),
         count_where(F.col("sla_breached")).alias("breached"),
-        F.sum((F.col("sla_target_hours") * 100).cast("bigint")).alias("target"),
+        F.sum(units("sla_target_hours", 100)).alias("target"),
     )
     sets = [[*dims, "ticks"], ["severity", "ticks"], ["service_type", "ticks"], ["ticks"]]
     expanded = compact.groupingSets(sets, *dims, "ticks").agg(
@@ -459,7 +460,7 @@ def ticket_risk(desk: Desk) -> DataFrame:
 
 def micro(p: str = "probability") -> Column:
     """A six-decimal probability in whole millionths."""
-    return F.round(F.col(p) * 1_000_000).cast("bigint")
+    return units(p, 1_000_000)
 
 
 def risk_band_summary(desk: Desk) -> DataFrame:

@@ -34,6 +34,7 @@ from ticketlens.operators.openat import (
 
     WeekGrid,
     explode_open,
+    ntz,
     open_counts,
     open_rows,
 )
@@ -499,9 +500,11 @@ def _weekly_measures(
     desk: Desk, grid: WeekGrid, keys: Sequence[str], fractions: dict
 ) -> DataFrame:
     """Opened by creation week and resolved by resolution week, from one scan."""
-    first = F.lit((grid.first - timedelta(days=7)).date())
-    stop = F.lit((grid.first + timedelta(days=7 * (grid.size - 1))).date())
+    first = ntz(grid.first - timedelta(days=7))
+    stop = ntz(grid.first + timedelta(days=7 * (grid.size - 1)))
     null = F.lit(None).cast("bigint")
+    opened = (F.col("creation_ts") >= first) & (F.col("creation_ts") < stop)
+    done = (F.col("resolution_ts") >= first) & (F.col("resolution_ts") < stop)
 
     def entry(ts: str, opened: int, value: Column) -> Column:
         return F.struct(
@@ -511,15 +514,12 @@ def _weekly_measures(
             (flag("sla_breached") if not opened else F.lit(0).cast("bigint")).alias("breached"),
         )
 
-    created, done = F.to_date("creation_ts"), F.to_date("resolution_ts")
     entries = F.array(
-        F.when((created >= first) & (created < stop), entry("creation_ts", 1, null)),
-        F.when(
-            F.col("is_resolved") & (done >= first) & (done < stop),
-            entry("resolution_ts", 0, ticks()),
-        ),
+        F.when(opened, entry("creation_ts", 1, null)),
+        F.when(F.col("is_resolved") & done, entry("resolution_ts", 0, ticks())),
     )
-    events = not_cancelled(desk.tickets).select(
+    # The same two ranges as a plain filter, so that the scan skips other weeks' row groups.
+    events = not_cancelled(desk.tickets).filter(opened | done).select(
         *keys, F.explode(F.array_compact(entries)).alias("e")
     )
     flat = events.select(*keys, "e.*")

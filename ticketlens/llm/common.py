@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 #: A word: a run of anything else.
 WORD = "[^\\x20\\x09-\\x0D]+"
+#: Bytes of text that a Python task works on at a time.
+SLICE_BYTES = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,3 +45,16 @@ def id_text(doc_id: Column) -> Column:
 def hex_bits(digest: Column, start: int, digits: int) -> Column:
     """``digits`` hex digits of a digest, from the 1-based ``start``, as a bigint."""
     return F.conv(F.substring(digest, start, digits), 16, 10).cast("bigint")
+
+
+def slices(batch: pa.RecordBatch, column: str, size_limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that a slice holds about ``size_limit`` bytes of text, or one longer row."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    start, size = 0, 0
+    for i, n in enumerate(lengths):
+        if size and size + n > size_limit:
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    if start < batch.num_rows:
+        yield batch.slice(start)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ticketlens.llm import mixing, sharding
+from ticketlens.llm import html_extraction, license_scan, mixing, sharding, token_counts
 from ticketlens.llm.common import table
+from ticketlens.operators.staging import shared_root
 
 SHARDS = 8
 
@@ -16,12 +18,29 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A cache of its own per call, so that a call shows the whole work.
+    cache = f"{shared_root(spark)}/token-cache-{uuid.uuid4().hex}"
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), cache)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sharding.assign_shards(docs, [1.0] * SHARDS, [1.0] * (SHARDS + 1))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summary(license_scan.scan_licenses(table(spark, sf_dir, "documents")))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
+    "op4_token_counts": op4_token_counts,
     "op7_sharding": op7_sharding,
+    "op8_license_scan": op8_license_scan,
+    "op9_html_extraction": op9_html_extraction,
 }

@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ticketlens.llm import html_extraction, license_scan, mixing, sharding, token_counts
+from ticketlens.llm import html_extraction, language_id, license_scan, mixing, sharding, token_counts
 from ticketlens.llm.common import table
 from ticketlens.operators.staging import shared_root
 
@@ -37,7 +38,19 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def held_out(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string")) % 4 == 2
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    seen = docs.filter(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), "text", "lang")
+    spans = language_id.identify(docs, language_id.learn(seen))
+    return spans.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_language_id": op10_language_id,
     "op2_mixing": op2_mixing,
     "op4_token_counts": op4_token_counts,
     "op7_sharding": op7_sharding,

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import html_extraction, language_id, license_scan, mixing, sharding, token_counts
+from ticketlens.llm import html_extraction, language_id, license_scan, mixing, quality_rules, sharding, token_counts
 from ticketlens.llm.common import table
 from ticketlens.operators.staging import shared_root
 
@@ -25,6 +25,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), cache)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sharding.assign_shards(docs, [1.0] * SHARDS, [1.0] * (SHARDS + 1))
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op2_mixing": op2_mixing,
     "op4_token_counts": op4_token_counts,
+    "op5_quality_rules": op5_quality_rules,
     "op7_sharding": op7_sharding,
     "op8_license_scan": op8_license_scan,
     "op9_html_extraction": op9_html_extraction,

@@ -8,13 +8,26 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import html_extraction, language_id, license_scan, mixing, quality_rules, sharding, token_counts
+from ticketlens.llm import (
+    exact_dedup,
+    html_extraction,
+    language_id,
+    license_scan,
+    mixing,
+    quality_rules,
+    sharding,
+    token_counts,
+)
 from ticketlens.llm.common import table
 from ticketlens.operators.staging import shared_root
 
 SHARDS = 8
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -54,6 +67,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_dedup": op1_exact_dedup,
     "op10_language_id": op10_language_id,
     "op2_mixing": op2_mixing,
     "op4_token_counts": op4_token_counts,

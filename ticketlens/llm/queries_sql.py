@@ -4,6 +4,21 @@ from __future__ import annotations
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
+OP1_EXACT_DEDUP = r"""
+with docs as (
+  select doc_id, length(coalesce(text, '')) as points,
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as plain
+  from documents
+)
+select doc_id,
+       first_value(doc_id) over best as keep_id,
+       count(*) over (partition by plain) as group_size,
+       row_number() over best = 1 as kept,
+       sha256(plain) as text_sha256
+from docs
+window best as (partition by plain order by points desc, doc_id nulls last)
+"""
+
 OP2_MIXING = f"""
 with docs as (
   select doc_id, source, {WORDS} as size,
@@ -51,4 +66,4 @@ from placed
 
 
 def sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_MIXING}
+    return {"op1_exact_dedup": OP1_EXACT_DEDUP, "op2_mixing": OP2_MIXING}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ticketlens.llm import (
     exact_dedup,
     html_extraction,
+    jaccard_join,
     language_id,
     license_scan,
     mixing,
@@ -32,6 +33,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A cache of its own per call, so that a call shows the whole work.
     cache = f"{shared_root(spark)}/token-cache-{uuid.uuid4().hex}"
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op10_language_id": op10_language_id,
     "op2_mixing": op2_mixing,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
     "op7_sharding": op7_sharding,

@@ -16,6 +16,7 @@ from ticketlens.llm import (
     license_scan,
     mixing,
     quality_rules,
+    sentencepiece_sampling,
     sharding,
     token_counts,
 )
@@ -47,6 +48,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentencepiece_sampling.encode(table(spark, sf_dir, "documents"))
+    return encoded.withColumn("n_tokens", F.size("ids").cast("bigint"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sharding.assign_shards(docs, [1.0] * SHARDS, [1.0] * (SHARDS + 1))
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
+    "op6_sentencepiece_sampling": op6_sentencepiece_sampling,
     "op7_sharding": op7_sharding,
     "op8_license_scan": op8_license_scan,
     "op9_html_extraction": op9_html_extraction,

@@ -339,3 +339,19 @@ def identify(
     return rows.mapInArrow(
         _identify(model, switch), f"doc_id {kind}, lang_pred string, score double, spans {SPANS}"
     )
+
+
+def _kept(model: Model, switch: float, text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(model, switch)
+        for batch in batches:
+            for part in slices(batch, text_col):
+                texts = [t or "" for t in part.column(text_col).to_pylist()]
+                yield part.filter(pa.array([lang != UNKNOWN for lang, _, _ in labeller.label(texts)]))
+
+    return run
+
+
+def kept_documents(docs: DataFrame, model: Model, switch: float = SWITCH, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that have a language, with all their columns."""
+    return docs.mapInArrow(_kept(model, switch, text_col), docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ticketlens import constants as C
 from ticketlens.sources.testdata import OUTAGES, ZONES
 
-SNAP = "TIMESTAMP '2001-07-01 00:00:00'"
+SNAP = "TIMESTAMP '2001-09-01 00:00:00'"
 
 
 def lit(s: str) -> str:
@@ -89,15 +89,14 @@ CTES = {
     + ", ".join("(" + ", ".join(lit(x) for x in row) + ")" for row in OUTAGES)
     + ") v(outage_id, region, service_type, s, e, cause)",
     "lines": """
-        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag
-        FROM (SELECT *, row_number() OVER (
-                  PARTITION BY l_orderkey, l_linenumber
-                  ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate,
-                           l_returnflag) AS rn
-              FROM lineitem)
-        WHERE rn = 1""",
+        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag,
+               row_number() OVER (
+                   PARTITION BY l_orderkey, l_linenumber
+                   ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
+                            l_returnflag, l_linestatus, l_shipdate) - 1 AS place
+        FROM lineitem""",
     "base0": f"""
-        SELECT l_orderkey * 10 + l_linenumber AS ticket_id, l_orderkey, l_linenumber, l_partkey,
+        SELECT l_orderkey * 10 + l_linenumber + place * 10000000000000 AS ticket_id, l_orderkey, l_linenumber, l_partkey,
                l_suppkey, l_returnflag, p_name, o_custkey AS customer_id, c_name AS customer_name,
                lower(c_mktsegment) AS industry, {TIER} AS tier,
                CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'major'
@@ -118,7 +117,7 @@ CTES = {
                u * u * 300 + 60
                  + CASE WHEN (l_orderkey + l_partkey) % 53 = 0 THEN 3000000 ELSE 0 END AS work,
                ticket_id % 25 = 0 AND NOT drops AS reopens
-        FROM base0 WHERE creation_ts < {SNAP}""",
+        FROM base0""",
     "base": f"""
         SELECT *, creation_ts + to_seconds(work) AS end_ts,
                CASE WHEN reopens THEN work * 3 // 5 ELSE work END AS first_work,

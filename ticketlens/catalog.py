@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ticketlens.functions import labels
 from ticketlens.operators import encoding, metrics
 from ticketlens.operators.openat import open_rows
+from ticketlens.operators.ordering import row_numbers
 from ticketlens.operators.staging import shared_root, stage
 from ticketlens.plans import (
     cleaning,
@@ -50,6 +51,10 @@ def raw_extract_counts(desk: Desk) -> DataFrame:
     return quality.table_counts(desk.get("raw"))
 
 
+def source_reconciliation(desk: Desk) -> DataFrame:
+    return testdata.source_reconciliation(_spark(desk), desk.get("source_dir"), desk.tickets)
+
+
 def snapshot_of_extract(desk: Desk) -> DataFrame:
     spark = _spark(desk)
     declared = raw.resolve_snapshot(raw.read_metadata(spark, desk.get("raw_dir")), desk.tickets)
@@ -463,6 +468,7 @@ FINDINGS: dict[str, Build] = {
 }
 
 SOURCES: dict[str, Build] = {
+    "source_reconciliation": source_reconciliation,
     "raw_extract_counts": raw_extract_counts,
     "snapshot_of_extract": snapshot_of_extract,
     "processed_roundtrip": processed_roundtrip,
@@ -546,7 +552,7 @@ def _fitted_encoders(desk: Desk, spec: training.Spec):
 def one_hot_levels(desk: Desk) -> DataFrame:
     """Validation and test rows per hot level of each category; unseen levels are all zeros."""
     cats = list(testdata.FEATURE_LEVELS)
-    spec = training.Spec(categorical=tuple(cats))
+    spec = training.Spec(categorical=tuple(cats), target_encoded=())
     model, out = _fitted_encoders(desk, spec)
     names = dict(zip(cats, model.stages[0].labelsArray))
     entries = []
@@ -561,7 +567,7 @@ def one_hot_levels(desk: Desk) -> DataFrame:
 
 def scaled_numerics(desk: Desk) -> DataFrame:
     """Mean and sd of the training-scaled numbers on validation and test rows."""
-    spec = training.Spec(categorical=())
+    spec = training.Spec(categorical=(), target_encoded=())
     _, out = _fitted_encoders(desk, spec)
     values = training.vector_to_array("scaled")
     numbers = [*training.OTHER_NUMERIC, *training.TIME]
@@ -584,17 +590,22 @@ def cyclical_time(desk: Desk) -> DataFrame:
 def ordinal_codes(desk: Desk) -> DataFrame:
     """Code of each level among the training levels in alphabetical order; unseen = -1."""
     cats = [*testdata.FEATURE_LEVELS, "customer_id"]
-    spec = training.Spec(family="gbt", categorical=tuple(cats))
-    model, out = _fitted_encoders(desk, spec)
-    entries = []
-    for c, known in zip(cats, model.stages[0].labelsArray):
-        index = F.col(f"{c}_ix").cast("int")
-        code = F.when(index == len(known), -1).otherwise(index)
-        entries.append(
-            F.struct(F.lit(c).alias("feature"), F.col(c).alias("level"), code.alias("code"))
-        )
-    long = out.select(F.inline(F.array(*entries)))
-    return long.groupBy("feature", "level", "code").agg(F.count(F.lit(1)).alias("rows"))
+    train, valid, test = _parts(desk)
+
+    def long(df: DataFrame) -> DataFrame:
+        pairs = [
+            F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("level")) for c in cats
+        ]
+        return df.select(F.inline(F.array(*pairs)))
+
+    known = long(train).filter("level is not null").distinct()
+    codes = row_numbers(known, ["level"], ["feature"], "code").withColumn(
+        "code", (F.col("code") - 1).cast("int")
+    )
+    seen = long(valid.unionByName(test)).groupBy("feature", "level").agg(F.count(F.lit(1)).alias("rows"))
+    return seen.join(codes, ["feature", "level"], "left").select(
+        "feature", "level", F.coalesce("code", F.lit(-1)).alias("code"), "rows"
+    )
 
 
 def target_encoding(desk: Desk) -> DataFrame:

@@ -138,6 +138,7 @@ def testdata_desk(spark: SparkSession, sf_dir: str) -> Desk:
 def _new_desk(spark: SparkSession, sf_dir: str) -> Desk:
     return Desk(
         {
+            "source_dir": lambda d: sf_dir,
             "customers": lambda d: testdata.customers(spark, sf_dir),
             "sites": lambda d: stage(testdata.sites(spark, sf_dir), "sites"),
             "services": lambda d: stage(testdata.services(spark, sf_dir), "services"),

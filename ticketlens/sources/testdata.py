@@ -1,20 +1,24 @@
 """Adapter: order/line-item tables -> raw ticket tables of the service-desk model.
 
-One ticket per distinct (order, line number). Every derived value is integer arithmetic or a
-CASE, so any SQL engine reproduces it exactly.
+One ticket per line. Order and line number do not identify a line (one pair can hold lines of
+several parts), so a ticket's id also has the line's place within the pair. Every derived value is
+integer arithmetic or a CASE, so any SQL engine reproduces it exactly.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticketlens import constants as C
 from ticketlens.functions.exact import idiv, plus_seconds
 
-SNAPSHOT = datetime(2001, 7, 1)
+#: After the last creation, so that no line falls behind it.
+SNAPSHOT = datetime(2001, 9, 1)
+#: Step between the ids of lines that share order and line number.
+PLACE_STEP = 10**13
 MODEL_VERSION = "pseudo-1"
 SCORE_MODULUS = 1_000_003
 
@@ -145,18 +149,59 @@ def outages(spark: SparkSession) -> DataFrame:
     )
 
 
-def deduplicated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First line per (order, line number) in a fixed order, with map-side combine."""
-    line = table(spark, sf_dir, "lineitem")
-    first = F.min(
-        F.struct(
-            "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag"
-        )
+LINE_ORDER = [
+    "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    "l_returnflag", "l_linestatus", "l_shipdate",
+]
+
+
+def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with its place (from 0) among those of its order and line number.
+
+    Partitioned by order, so that the join with the orders needs no second shuffle of the lines.
+    """
+    same = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*LINE_ORDER)
+    return (
+        table(spark, sf_dir, "lineitem")
+        .repartition("l_orderkey")
+        .withColumn("place", (F.row_number().over(same) - 1).cast("bigint"))
+        .select("l_orderkey", "l_linenumber", "place", "l_partkey", "l_suppkey", "l_returnflag")
     )
-    picked = line.groupBy("l_orderkey", "l_linenumber").agg(first.alias("f"))
-    return picked.select(
-        "l_orderkey", "l_linenumber", "f.l_partkey", "f.l_suppkey", "f.l_returnflag"
+
+
+def source_reconciliation(spark: SparkSession, sf_dir: str, tickets: DataFrame) -> DataFrame:
+    """Lines read, tickets made of them, and lines that could not become one, by reason."""
+    there = {
+        "order": table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"),
+        "customer": table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"),
+        "part": table(spark, sf_dir, "part").select("p_partkey"),
+        "nation": table(spark, sf_dir, "nation").select("n_nationkey"),
+    }
+    lines = (
+        table(spark, sf_dir, "lineitem")
+        .select("l_orderkey", "l_partkey")
+        .join(there["order"], F.col("l_orderkey") == F.col("o_orderkey"), "left")
+        .join(there["customer"], F.col("o_custkey") == F.col("c_custkey"), "left")
+        .join(there["part"], F.col("l_partkey") == F.col("p_partkey"), "left")
+        .join(there["nation"], F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    )
+    reason = (
+        F.when(F.col("o_orderkey").isNull(), "no_order")
+        .when(F.col("c_custkey").isNull(), "no_customer")
+        .when(F.col("p_partkey").isNull(), "no_part")
+        .when(F.col("n_nationkey").isNull(), "no_nation")
     )
+    reasons = ["no_order", "no_customer", "no_part", "no_nation"]
+    counts = lines.select(reason.alias("r")).agg(
+        F.count(F.lit(1)).alias("lines_read"),
+        *[F.count(F.when(F.col("r") == r, 1)).alias(r) for r in reasons],
+    )
+    made = tickets.agg(F.count(F.lit(1)).alias("tickets"))
+    rows = F.array(
+        *[F.struct(F.lit(n).alias("outcome"), F.col(n).alias("row_count")) for n in ["lines_read", *reasons]]
+    )
+    out = counts.select(F.inline(rows))
+    return out.unionByName(made.select(F.lit("tickets").alias("outcome"), F.col("tickets").alias("row_count")))
 
 
 def base_tickets(spark: SparkSession, sf_dir: str, sites: DataFrame) -> DataFrame:
@@ -164,7 +209,7 @@ def base_tickets(spark: SparkSession, sf_dir: str, sites: DataFrame) -> DataFram
     snap = F.expr(f"timestamp_ntz'{SNAPSHOT:%Y-%m-%d %H:%M:%S}'")
     site = sites.select("site_id", "region")
     raw = (
-        deduplicated_lines(spark, sf_dir)
+        numbered_lines(spark, sf_dir)
         .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -182,7 +227,7 @@ def base_tickets(spark: SparkSession, sf_dir: str, sites: DataFrame) -> DataFram
     u = (F.col("l_orderkey") * 7 + F.col("l_partkey") * 13 + F.col("l_suppkey")) % 30
     timed = raw.withColumns(
         {
-            "id": F.col("l_orderkey") * 10 + F.col("l_linenumber"),
+            "id": F.col("l_orderkey") * 10 + F.col("l_linenumber") + F.col("place") * PLACE_STEP,
             "tier": _tier(),
             "severity": severity,
             "creation_date": plus_seconds("o_orderdate", offset),
@@ -190,7 +235,7 @@ def base_tickets(spark: SparkSession, sf_dir: str, sites: DataFrame) -> DataFram
             "work": u * u * 300 + 60 + slow,
             "drops": (F.col("l_orderkey") * 31 + F.col("l_linenumber")) % 67 == 0,
         }
-    ).filter(F.col("creation_date") < snap)
+    )
     ended = timed.withColumns(
         {
             "end_ts": plus_seconds("creation_date", F.col("work")),

@@ -14,8 +14,9 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, memory="6g", partitions=4)
+def spark(tmp_path_factory):
+    shared = f"file://{tmp_path_factory.mktemp('shared')}"
+    session = local_session(8, memory="6g", partitions=4, shared=shared)
     yield session
     session.stop()
 

@@ -159,19 +159,3 @@ PROVINCE_NAMES = {
     "NL": "Newfoundland and Labrador",
     "PE": "Prince Edward Island",
 }
-
-# Open-domain codes whose display label is worked out ahead, per column (the
-# service-desk domain and the adapter's tables); any other code is labelled row by row.
-COMMON_INDUSTRIES = [
-    "financial_services", "healthcare", "retail", "manufacturing", "public_sector", "logistics",
-    "education", "energy", "automobile", "building", "furniture", "household", "machinery",
-]
-COMMON_REGIONS = [
-    "ontario", "quebec", "west", "prairies", "atlantic",
-    "AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST",
-]
-COMMON_SERVICES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-COMMON_GROUPS = [
-    "economy_ops", "large_ops", "promo_ops",
-    "field_africa", "field_america", "field_asia", "field_europe", "field_middle_east",
-]

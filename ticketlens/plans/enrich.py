@@ -16,29 +16,7 @@ from ticketlens.operators.intervals import interval_join
 from ticketlens.operators.openat import ntz
 from ticketlens.operators.ordering import ordered_prefix
 
-CREATION_FIELDS = [
-    "ticket_type",
-    "severity",
-    "priority",
-    "channel",
-    "customer_id",
-    "tier",
-    "industry",
-    "site_id",
-    "region",
-    "province",
-    "service_id",
-    "service_type",
-    "assignment_group",
-    "active_outage_id",
-    "open_backlog_at_creation",
-    "sla_target_hours",
-    "creation_hour_local",
-    "creation_dow_local",
-    "is_weekend",
-    "is_after_hours",
-    "has_requested_resolution_date",
-]
+# Columns known only after creation; no feature may use one.
 OUTCOME_FIELDS = [
     "status",
     "last_update",

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens import constants as C
+from ticketlens.operators.staging import shared_root
 from ticketlens.plans.enrich import OUTCOME_FIELDS, has_active_outage
 
 # The closed levels of the service-desk domain (customer ids are open).
@@ -53,22 +55,10 @@ TRUE_WORDS, FALSE_WORDS = ["true", "1", "t"], ["false", "0", "f"]
 
 
 def feature_schema(levels: Mapping[str, Sequence[str]] = LEVELS) -> list[dict]:
-    """Machine-readable feature list for the model card."""
-    out: list[dict] = []
-    for name in FEATURES:
-        spec: dict = {"name": name}
-        if name in CATEGORICAL:
-            spec["dtype"] = "category"
-            spec["allowed_values"] = list(levels[name]) if name in levels else "seen in training"
-        elif name in BOOLEAN:
-            spec["dtype"] = "bool"
-        else:
-            low, high, _ = RANGES[name]
-            spec.update(
-                dtype="float" if name == "sla_target_hours" else "int", min=low, max=high
-            )
-        out.append(spec)
-    return out
+    """The features for the model card: a list of levels, a range, or neither for booleans and ids."""
+    lists = {n: list(levels[n]) for n in CATEGORICAL if n in levels}
+    ranges = {n: [low, high] for n, (low, high, _) in RANGES.items()}
+    return [{"name": n, "levels": lists.get(n), "range": ranges.get(n)} for n in FEATURES]
 
 
 def _level(name: str) -> Column:
@@ -100,9 +90,9 @@ def project_features(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def unknown_levels(
-    features: DataFrame, levels: Mapping[str, Sequence[str]] = LEVELS, limit: int = 100
+    features: DataFrame, levels: Mapping[str, Sequence[str]] = LEVELS
 ) -> DataFrame:
-    """(feature, level) pairs outside the closed lists, in one scan."""
+    """All (feature, level) pairs outside the closed lists, in one scan."""
     entries = [
         F.when(
             F.col(c).isNotNull() & ~F.col(c).isin(list(allowed)),
@@ -111,7 +101,7 @@ def unknown_levels(
         for c, allowed in levels.items()
     ]
     found = features.select(F.inline(F.array_compact(F.array(*entries))))
-    return found.distinct().orderBy("feature", "level").limit(limit)
+    return found.distinct()
 
 
 def prepare_features(
@@ -123,11 +113,18 @@ def prepare_features(
     """Exactly the features (and ``keep``); bad booleans or unknown levels raise ValueError."""
     out = project_features(df, keep)
     if check:
-        bad = unknown_levels(out, levels).collect()
-        if bad:
-            raise ValueError(f"unknown categorical values: {[(r[0], r[1]) for r in bad]}")
-        nulls = out.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in BOOLEAN]).first()
-        wrong = [c for c in BOOLEAN if nulls[c]]
+        # One pass: rows with a level outside its list, and rows without a readable boolean.
+        strange = [
+            F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(list(allowed))).alias(c)
+            for c, allowed in levels.items()
+        ]
+        row = out.agg(*strange, *[F.count_if(F.col(c).isNull()).alias(c) for c in BOOLEAN]).first()
+        off = {c: row[c] for c in levels if row[c]}
+        if off:
+            listed = f"{shared_root(df.sparkSession)}/unknown-levels-{uuid.uuid4().hex}"
+            unknown_levels(out, levels).write.parquet(listed)
+            raise ValueError(f"unknown categorical values, rows by feature: {off}; levels in {listed}")
+        wrong = [c for c in BOOLEAN if row[c]]
         if wrong:
             raise ValueError(f"columns must be boolean: {wrong}")
     return out

@@ -49,15 +49,15 @@ def check_week(desk: Desk, week_ending: date | None) -> date:
     """The week to report: default the last full one; must be a Sunday with a prior week."""
     grid = desk.weeks
     if not grid.size:
-        raise ValueError("no full week in the loaded data")
+        raise ValueError("the data holds no complete week")
     first, last = (grid.first - timedelta(days=1)).date(), last_week(desk)
     week = week_ending or last
     if week.weekday() != 6:
-        raise ValueError(f"{week} is not a Sunday; weeks run Monday to Sunday")
+        raise ValueError(f"a week is named by its Sunday, which {week} is not")
     if not first <= week <= last:
-        raise ValueError(f"no full week ends on {week}; weeks end {first} to {last}")
+        raise ValueError(f"{week} lies outside the complete weeks, {first} to {last}")
     if week == first:
-        raise ValueError(f"{week} is the first week in the data; nothing to compare with")
+        raise ValueError(f"{week} has no earlier week to compare it with")
     return week
 
 

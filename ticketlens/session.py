@@ -14,7 +14,10 @@ SETTINGS = {
 }
 
 
-def local_session(cores: int | str = 8, memory: str = "8g", partitions: int = 8) -> SparkSession:
+def local_session(
+    cores: int | str = 8, memory: str = "8g", partitions: int = 8, shared: str | None = None
+) -> SparkSession:
+    """``shared`` is the folder for intermediate tables, as spark.checkpoint.dir is on a cluster."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("ticketlens")
@@ -23,6 +26,8 @@ def local_session(cores: int | str = 8, memory: str = "8g", partitions: int = 8)
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

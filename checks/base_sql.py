@@ -5,7 +5,7 @@ from __future__ import annotations
 from ticketlens import constants as C
 from ticketlens.sources.testdata import OUTAGES, ZONES
 
-SNAP = "TIMESTAMP '2001-09-01 00:00:00'"
+SNAP = "TIMESTAMP '2001-08-02 00:00:00'"
 
 
 def lit(s: str) -> str:

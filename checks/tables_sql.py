@@ -268,6 +268,14 @@ def sql() -> dict[str, str]:
             f"SELECT 'declared' AS source, {now} AS snapshot_ts UNION ALL "
             "SELECT 'last_update', max(last_update) FROM tidy WHERE reason IS NULL"
         ),
+        "extract_to_report": with_ctes(
+            f"SELECT risk_band, split, sla_breached, count(*) AS tickets, {now} AS snapshot_ts "
+            "FROM tickets WHERE ticket_id IN "
+            "(SELECT CAST(id AS BIGINT) FROM tidy WHERE reason IS NULL) "
+            "GROUP BY risk_band, split, sla_breached",
+            ["fact", "tickets"],
+            tidy,
+        ),
         "processed_roundtrip": f(
             "SELECT ticket_id, creation_ts, resolution_ts, customer_id, active_outage_id, "
             "CAST(h4 AS DOUBLE) / 10000 AS resolution_hours, is_weekend, is_resolved, "

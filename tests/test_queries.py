@@ -108,6 +108,9 @@ def test_loading_the_dirty_extract_recovers_the_clean_tickets(spark, desk):
     got = loaded.tickets.select(F.col("ticket_id").cast("bigint").alias("ticket_id"), *cols)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     assert loaded.history.count() == desk.get("cleaned_history").rows().count()
+    # Without a scorer every score is NULL, and nothing fails for the lack of one.
+    assert loaded.tickets.filter("risk_band is not null").count() == 0
+    assert loaded.loads.first()["snapshot_ts"] == loaded.snapshot
 
 
 def test_results_do_not_depend_on_the_session_zone(spark, desk):

@@ -25,7 +25,7 @@ from ticketlens.plans import (
     views,
 )
 from ticketlens.plans import features as FT
-from ticketlens.plans.desk import Desk, testdata_desk
+from ticketlens.plans.desk import Desk, load_extract, testdata_desk
 from ticketlens.sources import raw, tables, testdata
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +105,24 @@ def load_table_counts(desk: Desk) -> DataFrame:
     return _spark(desk).createDataFrame(rows, "table_name string, rows bigint")
 
 
+def extract_to_report(desk: Desk) -> DataFrame:
+    """The dirty raw extract, loaded, scored and audited: tickets by band, split and outcome.
+
+    Scores are the stand-in's, looked up by ticket id, so that SQL can follow.
+    """
+
+    def scorer(tickets: DataFrame) -> DataFrame:
+        known = desk.get("predictions").withColumn("ticket_id", F.col("ticket_id").cast("string"))
+        return scoring.score_table(tickets, known, desk.get("thresholds"), testdata.MODEL_VERSION)
+
+    loaded = load_extract(_spark(desk), desk.get("raw_dir"), scorer)
+    audited = tables.latest_snapshot(loaded.loads)
+    return loaded.tickets.groupBy("risk_band", "split", "sla_breached").agg(
+        F.count(F.lit(1)).alias("tickets"),
+        F.lit(audited).cast("timestamp_ntz").alias("snapshot_ts"),
+    )
+
+
 def load_run_latest(desk: Desk) -> DataFrame:
     """Append two audit rows, then read the latest snapshot and its counts."""
     spark = _spark(desk)
@@ -472,6 +490,7 @@ SOURCES: dict[str, Build] = {
     "raw_extract_counts": raw_extract_counts,
     "snapshot_of_extract": snapshot_of_extract,
     "processed_roundtrip": processed_roundtrip,
+    "extract_to_report": extract_to_report,
     "load_table_counts": load_table_counts,
     "load_run_latest": load_run_latest,
     "overwritten_scores": overwritten_scores,

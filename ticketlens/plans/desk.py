@@ -29,6 +29,7 @@ from ticketlens.plans.enrich import (
     split_of,
 )
 from ticketlens.plans.scoring import Thresholds, score_table, select_thresholds
+from ticketlens.schemas import TABLES
 from ticketlens.sources import testdata
 from ticketlens.sources.dirty import dirty_history, dirty_tickets
 from ticketlens.sources.raw import (
@@ -39,6 +40,7 @@ from ticketlens.sources.raw import (
     write_metadata,
     write_raw_table,
 )
+from ticketlens.sources.tables import append_load_run, load_run
 
 
 class Desk:
@@ -235,8 +237,13 @@ def _raw_dir(desk: Desk) -> str:
     return path
 
 
-def load_extract(spark: SparkSession, raw_dir: str) -> Desk:
-    """Raw extract folder -> desk: clean, check, enrich, number the history, audit."""
+def load_extract(
+    spark: SparkSession, raw_dir: str, scorer: Callable[[DataFrame], DataFrame] | None = None
+) -> Desk:
+    """Raw extract folder -> desk: clean, check, enrich, number the history, score, audit.
+
+    ``scorer`` turns the enriched tickets into the score table; without one, scores are NULL.
+    """
     raw = read_raw(spark, raw_dir)
     dims = (raw["customers"], raw["sites"], raw["services"], raw["outages"])
     cleaned = staged(clean_tickets(raw["tickets"], dims))
@@ -257,14 +264,24 @@ def load_extract(spark: SparkSession, raw_dir: str) -> Desk:
         stage(clean_status_history(raw["status_history"], cleaned.kept).checked, "checked_history")
     )
     wide = enrich(cleaned.kept, raw["customers"], raw["sites"], raw["services"], targets, snapshot)
-    unscored = wide.withColumns(
-        {
-            "model_version": F.lit(None).cast("string"),
-            "probability": F.lit(None).cast("double"),
-            "risk_band": F.lit(None).cast("string"),
-            "split": F.lit(None).cast("string"),
+    no_scores = "ticket_id string, model_version string, probability double, risk_band string, split string"
+
+    def scores(desk: Desk) -> DataFrame:
+        if scorer is None:
+            return spark.createDataFrame([], no_scores)
+        return stage(scorer(desk.get("wide")), "scores")
+
+    def loads(desk: Desk) -> DataFrame:
+        """The audit record of this load."""
+        counted = {
+            name: df.agg(F.count(F.lit(1))).first()[0]
+            for name, df in (("fact_ticket", desk.tickets), ("fact_ticket_status_history", desk.history))
         }
-    )
+        report = {r[0]: r[2] for r in cleaned.report().filter("detail = ''").collect()}
+        path = f"{shared_root(spark)}/load_run-{uuid.uuid4().hex}"
+        append_load_run(load_run(spark, snapshot, raw_dir, counted, report), path)
+        return spark.read.schema(TABLES["load_run"]).parquet(path)
+
     return Desk(
         {
             "customers": lambda d: raw["customers"],
@@ -274,7 +291,12 @@ def load_extract(spark: SparkSession, raw_dir: str) -> Desk:
             "outages": lambda d: outages,
             "cleaned": lambda d: cleaned,
             "cleaned_history": lambda d: history,
-            "tickets": lambda d: stage(cluster_by_creation(unscored), "tickets"),
+            "wide": lambda d: stage(wide, "wide"),
+            "scores": scores,
+            "loads": loads,
+            "tickets": lambda d: stage(
+                cluster_by_creation(attach_scores(d.get("wide"), d.scores)), "tickets"
+            ),
             "history": lambda d: stage(
                 history.rows().withColumnRenamed("change_date", "change_ts"), "history"
             ),

@@ -16,7 +16,7 @@ from ticketlens import constants as C
 from ticketlens.functions.exact import idiv, plus_seconds
 
 #: After the last creation, so that no line falls behind it.
-SNAPSHOT = datetime(2001, 9, 1)
+SNAPSHOT = datetime(2001, 8, 2)
 #: Step between the ids of lines that share order and line number.
 PLACE_STEP = 10**13
 MODEL_VERSION = "pseudo-1"

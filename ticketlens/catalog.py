@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -126,7 +127,8 @@ def extract_to_report(desk: Desk) -> DataFrame:
 def load_run_latest(desk: Desk) -> DataFrame:
     """Append two audit rows, then read the latest snapshot and its counts."""
     spark = _spark(desk)
-    path = f"{shared_root(spark)}/load_run"
+    # A path of its own per call, so that no earlier call's rows are read.
+    path = f"{shared_root(spark)}/load_run-{uuid.uuid4().hex}"
     counts = {r[0]: r[1] for r in quality.table_counts(_loaded(desk)).collect()}
     cleaned = desk.get("cleaned").report().filter("detail = ''")
     summary = {r[0]: r[2] for r in cleaned.collect()}
@@ -145,7 +147,6 @@ def load_run_latest(desk: Desk) -> DataFrame:
             F.col("key").alias("table_name"),
             F.col("value").alias("rows"),
         )
-        .distinct()
     )
 
 
@@ -256,27 +257,21 @@ def sla_outcomes(desk: Desk) -> DataFrame:
 def code_labels(desk: Desk) -> DataFrame:
     """Distinct codes with their labels."""
     t = desk.tickets
-    kinds = [
-        ("service_type", labels.service_label("code")),
-        ("channel", labels.channel_label("code")),
-        ("assignment_group", labels.group_label("code")),
-        ("industry", labels.humanise("code")),
-        ("ticket_type", labels.humanise("code")),
-        ("region", labels.humanise("code")),
-        ("split", labels.split_label("code")),
-    ]
-    parts = [
-        t.select(F.col(c).alias("code"))
-        .distinct()
-        .select(F.lit(c).alias("kind"), "code", label.alias("label"))
-        for c, label in kinds
-    ]
-    cause = desk.outages.select(F.col("cause").alias("code")).distinct()
-    parts.append(cause.select(F.lit("cause").alias("kind"), "code", labels.humanise("code").alias("label")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    label_of = {
+        "service_type": labels.service_label("code"),
+        "channel": labels.channel_label("code"),
+        "assignment_group": labels.group_label("code"),
+        "split": labels.split_label("code"),
+    }
+    kinds = ["service_type", "channel", "assignment_group", "industry", "ticket_type", "region", "split"]
+    pairs = [F.struct(F.lit(c).alias("kind"), F.col(c).alias("code")) for c in kinds]
+    # One scan; the labels are worked out on the few distinct codes.
+    codes = t.select(F.inline(F.array(*pairs))).distinct()
+    causes = desk.outages.select(F.lit("cause").alias("kind"), F.col("cause").alias("code")).distinct()
+    label = labels.humanise("code")
+    for kind, own in label_of.items():
+        label = F.when(F.col("kind") == kind, own).otherwise(label)
+    return codes.unionByName(causes).select("kind", "code", label.alias("label"))
 
 
 ENRICHMENT: dict[str, Build] = {

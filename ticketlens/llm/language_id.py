@@ -354,4 +354,7 @@ def _kept(model: Model, switch: float, text_col: str) -> Callable[[Iterator[pa.R
 
 def kept_documents(docs: DataFrame, model: Model, switch: float = SWITCH, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that have a language, with all their columns."""
-    return docs.mapInArrow(_kept(model, switch, text_col), docs.schema)
+    # Positional names, as a column's own may hold a dot.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = f"c{docs.columns.index(text_col)}"
+    return plain.mapInArrow(_kept(model, switch, text), plain.schema).toDF(*docs.columns)

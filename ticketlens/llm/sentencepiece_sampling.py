@@ -44,7 +44,11 @@ from ticketlens.llm.token_counts import MARK, tokenizer_path
 TOKENIZER = "piece_bpe_32k.model"
 SAMPLES, ALPHA, SEED = 2, 0.5, 1
 #: Units a task remembers, to bound its memory.
-UNITS = 200_000
+UNITS = 100_000
+#: Units whose lattices are built together.
+ADDED = 16_000
+#: Bytes of text searched at a time; a search holds some fifty bytes per byte of text.
+SLICE_BYTES = 1_500_000
 #: Log-weight of one byte of a character that has no piece.
 BYTE_LOGIT = -14.0
 _STEP, _PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -55,6 +59,16 @@ def unit_interval(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def sums_before(x: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sum of the elements from ``start`` (per element, its group's first) up to each, exclusive.
+
+    In whole units of 2 ** -40, so that a group's sums don't depend on what stands before it.
+    """
+    units = np.rint(x * 2.0**40).astype(np.int64)
+    run = np.cumsum(units) - units
+    return (run - run[start]) * 2.0**-40
+
+
 def _times(step: np.uint64, n: int) -> np.uint64:
     return np.uint64(int(step) * n % 2**64)
 
@@ -154,8 +168,8 @@ class Lattices:
         if len(self.known) + len(fresh) > UNITS:
             self.clear()
             fresh = list({u for units in texts for u in units})
-        if fresh:
-            self._add(fresh)
+        for i in range(0, len(fresh), ADDED):
+            self._add(fresh[i : i + ADDED])
         get = self.known.__getitem__
         return np.fromiter((get(u) for units in texts for u in units), np.int64, sum(map(len, texts)))
 
@@ -223,8 +237,7 @@ class Lattices:
             beta[here] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, count)), begin))
         logp = np.minimum(weight + beta[ahead] - beta[node], 0.0)
         p = np.exp(logp)
-        run = np.cumsum(p)
-        upto = run - (run - p)[starts[node]]
+        upto = sums_before(p, starts[node]) + p
         shift = self.nodes
         closing = starts[node + 1] - 1 == np.arange(len(node))
         upto = np.where(closing, 1.0, upto)
@@ -318,8 +331,7 @@ class Sampler:
         owner = np.repeat(np.repeat(np.arange(n), sizes), counts)
         offsets = np.searchsorted(owner, np.arange(n + 1))
         logp = lat.arc_logp[arcs]
-        run = np.cumsum(logp) - logp
-        before = run - (run[np.minimum(offsets[:-1], max(len(run) - 1, 0))] if len(run) else np.zeros(n))[owner]
+        before = sums_before(logp, offsets[owner])
         top = -np.log(-np.log(unit_interval(mixed(stream(0)))))
         noise = unit_interval(mixed(stream(0)[owner] ^ (np.arange(len(arcs), dtype=np.uint64) - offsets[owner].astype(np.uint64)) * _STEP))
         bounds = cut_gumbel(before + _others(logp), top[owner], noise)
@@ -411,8 +423,7 @@ class Sampler:
         head = np.cumsum(own) - own
         who = np.repeat(np.arange(len(popped)), own)
         logp = lat.arc_logp[arcs]
-        run = np.cumsum(logp) - logp
-        before = run - run[head][who] + np.array(prefix)[who]
+        before = sums_before(logp, head[who]) + np.array(prefix)[who]
         mass = before + _others(logp)
         for j, (t, *_) in enumerate(popped):
             rest = 1.0 - float(np.exp(lat.arc_logp[list(bans[t])]).sum())
@@ -436,7 +447,7 @@ def _encode(tokenizer: str, k: int, alpha: float, seed: int) -> Callable[[Iterat
         vocab = vocabulary(tokenizer, alpha)
         sampler = Sampler(vocab, k)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 texts, ids = part.column("text").to_pylist(), part.column("key").to_pylist()
                 at, rank, lists, logp, inclusion, same = [], [], [], [], [], []
                 for i, found in enumerate(sampler.sample(texts, row_keys(ids, seed))):

@@ -38,3 +38,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_root(spark)}/{safe}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete staged tables that no later plan reads; anything outside the shared folder stays."""
+    for df in staged:
+        files = df.inputFiles()
+        if not files:
+            continue
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
+        if path.getParent().toUri().getPath() == root.toUri().getPath():
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -26,41 +26,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlens.llm.common import id_text, text_of, without_white
-from ticketlens.operators.staging import stage
+from ticketlens.operators.staging import discard, stage
 
 FIRST_BYTES, GROWTH, MOST_BYTES = 64, 8, 1 << 20
 
 
-def _split(left: DataFrame, width: int) -> DataFrame:
-    """One round over rows of (row, group, rest): what is still grouped, with its new group."""
+def _split(left: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """One round over rows of (row, group, rest): classes of ended texts, and what goes on."""
     head = F.substring("rest", 1, width)
     cut = left.select("row", "group", head.alias("head"), F.expr(f"substring(rest, {width + 1})").alias("rest"))
-    groups = (
+    # Written, so that the rows of a much-copied text can be split in the join.
+    groups = stage(
         cut.groupBy("group", "head")
         .agg(F.min("row").alias("split"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
-        .select("group", "head", "split")
+        .select("group", "head", "split"),
+        "radix_groups",
     )
     ended = F.octet_length("head") < width
-    return cut.join(groups, ["group", "head"]).select(
+    # Merged at every size: the table of groups grows with the input.
+    grouped = cut.join(groups.hint("merge"), ["group", "head"]).select(
         "row",
         F.col("split").alias("group"),
         ended.alias("ended"),
         F.when(~ended, F.col("rest")).alias("rest"),
     )
+    after = stage(grouped, "radix_round")
+    found = stage(after.filter("ended").select("row", F.col("group").alias("class")), "radix_found")
+    discard(groups)
+    return found, after
 
 
 def duplicate_classes(rows: DataFrame) -> DataFrame:
     """(row, class) of the rows of (row, rest) that have an equal; ``row`` is unique."""
     left = rows.select("row", F.lit(0).cast("bigint").alias("group"), "rest")
-    width, done = FIRST_BYTES, None
+    width, done, last = FIRST_BYTES, None, []
     while True:
-        # Stale rounds have one reader each: the next round, or the union at the end.
-        after = stage(_split(left, width), "radix_round")
-        found = after.filter("ended").select("row", F.col("group").alias("class"))
+        found, after = _split(left, width)
         done = found if done is None else done.unionByName(found)
-        left = after.filter("not ended").drop("ended")
+        # The texts of the round before are not needed any more.
+        discard(*last)
+        left, last = after.filter("not ended").drop("ended"), [after]
         if left.isEmpty():
+            discard(after)
             return done
         width = min(width * GROWTH, MOST_BYTES)
 
@@ -83,6 +91,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classed = stage(
         rows.drop("rest").join(duplicate_classes(rows.select("row", "rest")), "row", "left"), "radix_classed"
     )
+    discard(rows)
     single = classed.filter("class is null").select(
         "doc_id",
         F.col("doc_id").alias("keep_id"),

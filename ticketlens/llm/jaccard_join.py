@@ -10,8 +10,8 @@ from a count sketch of ``CELLS`` cells over all documents, whose size does not d
 
 **Hot groups.** Documents with equal sets are one class. A token that N near copies share would
 give N * N / 2 pairs. Instead every class first meets one hub, the class that is most often the
-best-connected one of its tokens, and is verified against it. Classes at least half like their hub
-form its star:
+best-connected one of its tokens, if the two share a good part of the prefix. The classes of a
+hub are its star, and are verified against it:
 
 * two classes of a star that both link to the hub are connected, and need no look at each other;
 * a class that does not link is compared with the rest of its star by *differences from the hub*.
@@ -39,18 +39,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.llm.common import id_text, slices, text_of
 from ticketlens.llm.shingles import shingle_sets
-from ticketlens.operators.staging import stage
+from ticketlens.operators.staging import discard, stage
 
 WORDS, PERCENT = 5, 80
 #: Cells of the frequency sketch: two megabytes, whatever the corpus.
 CELLS = 1 << 18
 #: Longest step of the multi-match prefix, and the cost of a verification in postings.
 MOST_MATCHES, VERIFY_COST = 12, 8.0
+#: A class joins the star of a hub that shares one in so many tokens of its prefix.
+STAR_SHARE = 8
 #: Tokens of average frequency meet about so many partners.
 RARE = 0.05
 
@@ -135,6 +137,11 @@ def _needed(a: Column, b: Column, percent: int) -> Column:
     return F.ceil((a + b) * percent / F.lit(100 + percent) - F.lit(1e-9))
 
 
+def _slack(a: Column, b: Column, percent: int) -> Column:
+    """Tokens that two linked sets of sizes a and b may have apart."""
+    return F.floor((a + b) * (100 - percent) / F.lit(100 + percent) + F.lit(1e-9))
+
+
 def frequency_sketch(rows: DataFrame, width: int) -> tuple[np.ndarray, float]:
     """How often the tokens of each cell occur, and the load of a common cell."""
     counted = rows.select("text").mapInArrow(_sketch(width), "cell int, n bigint")
@@ -153,60 +160,97 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stage(pairs.join(left, "a").join(right, "b").filter(enough).select("a", "b"), "jaccard_links")
 
 
-def _hubs(shared: DataFrame) -> DataFrame:
-    """(cls, hub): the best-connected class of most of the tokens of each class."""
+def _hubs(shared: DataFrame, facts: DataFrame) -> DataFrame:
+    """(cls, hub): the best-connected class of most of the tokens of each class.
+
+    Only where the two share enough tokens to be candidates, and a good part of the prefix, so
+    that the differences inside a star stay small.
+    """
     rank = stage(shared.groupBy("cls").agg(F.count(F.lit(1)).alias("rank")), "jaccard_rank")
-    ranked = shared.select("token", "cls").join(rank, "cls")
+    ranked = shared.join(rank, "cls")
     heads = stage(
         ranked.groupBy("token").agg(F.max(F.struct("rank", -F.col("cls")))["col2"].alias("minus")), "jaccard_heads"
     )
-    met = stage(shared.select("token", "cls").join(heads, "token").select("cls", (-F.col("minus")).alias("hub")), "jaccard_met")
+    met = stage(shared.join(heads, "token").select("cls", (-F.col("minus")).alias("hub")), "jaccard_met")
     times = met.groupBy("cls", "hub").agg(F.count(F.lit(1)).alias("times"))
-    best = times.groupBy("cls").agg(F.max(F.struct("times", -F.col("hub")))["col2"].alias("minus"))
-    return best.select("cls", (-F.col("minus")).alias("hub")).filter("cls <> hub")
+    best = times.filter("cls <> hub").groupBy("cls").agg(
+        F.max(F.struct("times", -F.col("hub"))).alias("best")
+    ).select("cls", (-F.col("best.col2")).alias("hub"), "best.times")
+    best = stage(best, "jaccard_best")
+    own = facts.select("cls", "matches", "length")
+    other = facts.select(F.col("cls").alias("hub"), F.col("matches").alias("hub_matches"))
+    enough = (F.col("times") >= F.least("matches", "hub_matches")) & (
+        F.col("times") * STAR_SHARE >= F.col("length")
+    )
+    return _to_the_last(
+        stage(best.join(own, "cls").join(other, "hub").filter(enough).select("cls", "hub"), "jaccard_hubs")
+    )
+
+
+def _to_the_last(hubs: DataFrame) -> DataFrame:
+    """Follow hubs of hubs to the last one, so that a group has one star and not many small ones.
+
+    A hub is better connected than its classes (or as well, with a smaller number), so there are
+    no circles; every round doubles the steps taken.
+    """
+    while True:
+        further = hubs.select(F.col("cls").alias("hub"), F.col("hub").alias("next"))
+        jumped = stage(hubs.join(further, "hub", "left"), "jaccard_hubs")
+        hubs = jumped.select("cls", F.coalesce("next", "hub").alias("hub"))
+        if jumped.filter("next is not null").isEmpty():
+            return hubs
 
 
 def _stars(hubs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """cls, hub, n, linked, close and the symmetric difference with the hub, per class with a hub."""
+    """cls, hub, n, n_hub, linked, and size and head of the difference with the hub, per class with a hub.
+
+    The order of a difference is: tokens that the hub lacks, which few classes share, then those
+    of the hub. Only as much of it is kept as a prefix can need.
+    """
     own = sets.select("cls", F.col("tokens").alias("t"))
     hub = sets.select(F.col("cls").alias("hub"), F.col("tokens").alias("th"))
-    common = F.size(F.array_intersect("t", "th"))
     compared = hubs.join(own, "cls").join(hub, "hub").select(
         "cls",
         "hub",
         F.size("t").alias("n"),
         F.size("th").alias("n_hub"),
-        common.alias("common"),
-        F.array_union(F.array_except("t", "th"), F.array_except("th", "t")).alias("away"),
+        F.size(F.array_intersect("t", "th")).alias("common"),
+        F.concat(
+            F.sort_array(F.array_except("t", "th")), F.sort_array(F.array_except("th", "t"))
+        ).alias("away"),
     )
-    close = 3 * F.col("common") >= F.col("n") + F.col("n_hub")
+    longest = _slack(F.col("n"), F.floor(100 * F.col("n") / F.lit(percent)), percent) + 1
     linked = F.col("common") >= _needed(F.col("n"), F.col("n_hub"), percent)
     return stage(
         compared.select(
-            "cls", "hub", "n", "n_hub", linked.alias("linked"), close.alias("close"), F.when(close, F.col("away")).alias("away")
+            "cls",
+            "hub",
+            "n",
+            "n_hub",
+            linked.alias("linked"),
+            F.size("away").alias("size"),
+            F.slice("away", 1, longest.cast("int")).alias("away"),
         ),
         "jaccard_stars",
     )
 
 
 def _members(stars: DataFrame) -> DataFrame:
-    """(star, cls, n, linked, away): the stars with their hubs, where some class does not link."""
-    close = stars.filter("close")
-    hubs = close.groupBy("hub").agg(
+    """(star, cls, n, linked, size, away): the stars with their hubs, where some class does not link."""
+    hubs = stars.groupBy("hub").agg(
         F.first("n_hub").alias("n"),
-        F.min(F.when(~F.col("linked"), F.size("away"))).alias("nearest"),
+        F.min(F.when(~F.col("linked"), F.col("size"))).alias("nearest"),
         F.max("n").alias("largest"),
     )
-    # A class that is a hub itself belongs to its own star.
-    others = close.join(hubs.select(F.col("hub").alias("cls")), "cls", "left_anti")
     open_stars = stage(hubs.filter("nearest is not null"), "jaccard_open")
     facts = open_stars.select("hub", "nearest", F.greatest("largest", "n").alias("largest"))
-    rays = others.select("hub", "cls", "n", "linked", "away").join(facts, "hub")
+    rays = stars.select("hub", "cls", "n", "linked", "size", "away").join(facts, "hub")
     middles = open_stars.select(
         "hub",
         F.col("hub").alias("cls"),
         "n",
         F.lit(True).alias("linked"),
+        F.lit(0).alias("size"),
         F.array().cast("array<bigint>").alias("away"),
         "nearest",
         F.greatest("largest", "n").alias("largest"),
@@ -218,34 +262,31 @@ def _inside_stars(members: DataFrame, percent: int) -> DataFrame:
     """Candidates (a, b) of one star of which at least one does not link to the hub."""
     # Sizes of partners lie between percent / 100 of n and 100 / percent of it.
     partner = F.least(F.col("largest"), F.floor(100 * F.col("n") / F.lit(percent)))
-    slack = F.floor((F.col("n") + partner) * (100 - percent) / F.lit(100 + percent) + F.lit(1e-9))
-    size = F.size("away")
+    slack = _slack(F.col("n"), partner, percent)
+    size = F.col("size")
     # A link needs |Da & Db| >= (|Da| + |Db| - slack) / 2, and |Db| >= |Da| - slack. Every set
-    # gets one common last token (null below), as differences may also be disjoint.
+    # gets one common last token, as differences may also be disjoint.
     as_query = F.greatest(F.lit(0), size - slack)
     as_partner = F.greatest(as_query, F.ceil((F.col("nearest") + size - slack) / 2))
-    keyed = members.select(
-        "star", "cls", "n", "linked", size.alias("size"),
-        (size + 1 - as_query).alias("query_len"), (size + 1 - as_partner).alias("partner_len"),
-        F.explode(F.concat(F.transform("away", lambda t: t.cast("string")), F.array(F.lit("")))).alias("token"),
-    )
-    counts = stage(keyed.groupBy("star", "token").agg(F.count(F.lit(1)).alias("found")), "jaccard_away_counts")
-    by_rarity = Window.partitionBy("cls").orderBy(F.col("token") == "", "found", "token")
-    ranked = stage(
-        keyed.join(counts, ["star", "token"])
-        .withColumn("turn", F.row_number().over(by_rarity))
-        .filter("found > 1 and turn <= greatest(query_len, partner_len)"),
-        "jaccard_away",
-    )
-    queries = ranked.filter("not linked and turn <= query_len").select(
-        "star", "token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("size").alias("sa")
+
+    def prefixes(rows: DataFrame, spared: Column) -> DataFrame:
+        length = F.greatest(F.lit(0), size + 1 - spared).cast("int")
+        own = F.transform(
+            F.slice("away", 1, F.least(length, size)), lambda t: F.struct(t.alias("token"), F.lit(False).alias("last"))
+        )
+        common = F.array(F.struct(F.lit(0).cast("bigint").alias("token"), F.lit(True).alias("last")))
+        tokens = F.when(length > size, F.concat(own, common)).otherwise(own)
+        return rows.select("star", "cls", "n", "linked", "size", F.inline(tokens))
+
+    queries = prefixes(members.filter("not linked"), as_query).select(
+        "star", "token", "last", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("size").alias("sa")
     )
-    partners = ranked.filter("turn <= partner_len").select(
-        "star", "token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("size").alias("sb"),
+    partners = prefixes(members, as_partner).select(
+        "star", "token", "last", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("size").alias("sb"),
         F.col("linked").alias("fixed"),
     )
     most = F.col("na") + F.col("nb") - 2 * _needed(F.col("na"), F.col("nb"), percent)
-    met = queries.join(partners, ["star", "token"]).filter(
+    met = queries.join(partners, ["star", "token", "last"]).filter(
         (F.col("a") != F.col("b"))
         & (F.col("fixed") | (F.col("a") < F.col("b")))
         & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
@@ -254,15 +295,14 @@ def _inside_stars(members: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
-def _between_stars(shared: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+def _between_stars(shared: DataFrame, facts: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
     """Candidates (a, b) of different stars that share enough prefix tokens."""
-    close = stars.filter("close")
-    hubs = close.select(F.col("hub").alias("cls")).distinct()
-    star_of = stage(
-        close.join(hubs, "cls", "left_anti").select("cls", F.col("hub").alias("star")), "jaccard_star_of"
-    )
+    star_of = hubs.select("cls", F.col("hub").alias("star"))
     placed = stage(
-        shared.join(star_of, "cls", "left").withColumn("star", F.coalesce("star", "cls")), "jaccard_placed"
+        shared.join(star_of, "cls", "left")
+        .join(facts.select("cls", "n", "matches"), "cls")
+        .withColumn("star", F.coalesce("star", "cls")),
+        "jaccard_placed",
     )
     sizes = placed.groupBy("token", "star").agg(F.count(F.lit(1)).alias("found"))
     mixed = stage(
@@ -329,45 +369,57 @@ def near_duplicates(
         ),
         "jaccard_rows",
     )
-    classes = stage(
+    all_classes = stage(
         rows.filter("n > 0")
         .groupBy("digest")
         .agg(F.min("doc_id").alias("id"), F.first(F.struct("n", "matches", "prefix")).alias("f"))
         .select(F.monotonically_increasing_id().alias("cls"), "digest", "id", "f.*"),
         "jaccard_classes",
     )
-    postings = classes.select("cls", "n", "matches", F.explode("prefix").alias("token"))
+    postings = all_classes.select("cls", F.explode("prefix").alias("token"))
     tokens = stage(
         postings.groupBy("token").agg(F.count(F.lit(1)).alias("found")).filter("found > 1").select("token"), "jaccard_tokens"
     )
     shared = stage(postings.join(tokens, "token"), "jaccard_shared")
-    # Whole sets, only of classes that share a prefix token with another.
+    # The prefixes have done their work; what follows reads the tables without them.
+    members = stage(rows.select("doc_id", "n", "digest"), "jaccard_members")
+    classes = stage(
+        all_classes.select("cls", "digest", "id", "n", "matches", F.size("prefix").alias("length")), "jaccard_facts"
+    )
+    discard(rows, all_classes, tokens)
+    facts = classes.select("cls", "n", "matches", "length")
+    hubs = _hubs(shared, facts)
+    crossing = stage(_between_stars(shared, facts, hubs, percent), "jaccard_candidates")
+
+    # Whole sets, only of classes that are verified against another.
+    asked = hubs.select("cls").union(hubs.select("hub")).union(crossing.select("a")).union(crossing.select("b"))
     meeting = classes.select("cls", "digest", id_text(F.col("id")).alias("_key")).join(
-        shared.select("cls").distinct(), "cls", "left_semi"
+        asked.distinct(), "cls", "left_semi"
     )
     sets = stage(
         texts.withColumn("_key", id_text(F.col("doc_id")))
         .join(meeting, "_key")
+        .groupBy("_key", "cls", "digest", F.xxhash64("text").alias("_same"))
+        .agg(F.first("text").alias("text"))
         .select("cls", "digest", "text")
-        .mapInArrow(_sets(width), "cls bigint, tokens array<bigint>")
-        .groupBy("cls")
-        .agg(F.first("tokens").alias("tokens")),
+        .mapInArrow(_sets(width), "cls bigint, tokens array<bigint>"),
         "jaccard_sets",
     )
-    stars = _stars(_hubs(shared), sets, percent)
+    stars = _stars(hubs, sets, percent)
     links = stars.filter("linked").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
     links = links.unionByName(_verified(_inside_stars(_members(stars), percent), sets, percent))
-    links = links.unionByName(_verified(_between_stars(shared, stars, percent), sets, percent))
+    links = links.unionByName(_verified(crossing, sets, percent))
 
     roots = components(links)
+    discard(sets)
     rooted = classes.select("cls", "digest", "id").join(roots, "cls", "left").withColumn(
         "root", F.coalesce("root", "cls")
     )
     rooted = stage(rooted, "jaccard_rooted")
     lowest = stage(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "jaccard_lowest")
     named = stage(rooted.join(lowest, "root").select("digest", "component_id"), "jaccard_named")
-    alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    grouped = rows.filter("n > 0").select("doc_id", "n", "digest").join(named, "digest").select(
+    alone = members.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    grouped = members.filter("n > 0").select("doc_id", "n", "digest").join(named, "digest").select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id"
     )
     return grouped.unionByName(alone)

@@ -67,6 +67,49 @@ def test_components_are_those_of_all_pairs(spark, width, percent):
     assert got == {i: (want[i], sizes[i]) for i in range(len(rows))}
 
 
+def lowest_of(edges) -> dict[int, int]:
+    """Union-find: the smallest class of the component of every class with an edge."""
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    return {x: root(x) for x in parent}
+
+
+def linked_graphs():
+    """Chains and bridged stars, each with random numbers for its classes."""
+    rng = random.Random(11)
+    yield [(1, 3), (3, 4), (4, 5), (5, 2)]
+    for _ in range(4):
+        at = rng.sample(range(1000), 42)
+        yield [(at[0], x) for x in at[1:21]] + [(at[21], x) for x in at[22:]] + [(at[5], at[30])]
+    for k in (5, 8, 30):
+        at = rng.sample(range(1000), k)
+        yield list(zip(at, at[1:], strict=False))
+
+
+@pytest.mark.parametrize("edges", list(linked_graphs()))
+def test_closure_of_links_is_union_find(spark, edges):
+    got = jaccard_join.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    want = lowest_of(edges)
+    assert sorted((r.cls, r.root) for r in got) == sorted((x, r) for x, r in want.items() if x != r)
+
+
+def test_rows_of_chains_come_out_once(spark):
+    rng = random.Random(3)
+    words = [f"c{i}" for i in range(400)]
+    rows = [(i, " ".join(words[8 * i : 8 * i + 120])) for i in range(30)]
+    rng.shuffle(rows)
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 85)
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(i, 0) for i in range(30)]
+
+
 def test_join_on_edge_rows(spark):
     got = jaccard_join.near_duplicates(edge.frame(spark), 4, 85).collect()
     assert len(got) == len(edge.rows())

@@ -346,8 +346,9 @@ def components(edges: DataFrame) -> DataFrame:
         low = stage(large.groupBy("a").agg(F.min("b").alias("low")), "jaccard_low")
         hooked = large.join(low, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         now = stage(hooked.unionByName(low.withColumnRenamed("low", "b")).distinct(), "jaccard_edges")
-        # Done when every edge leads to a root.
-        if now.join(now.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+        # Done when every class has one edge and it leads to a root.
+        split = now.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")).filter("low <> high")
+        if split.isEmpty() and now.join(now.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             return now.select(F.col("a").alias("cls"), F.col("b").alias("root"))
 
 

@@ -6,6 +6,7 @@ import random
 import sys
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -13,6 +14,7 @@ import edge  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from ticketlens.llm import jaccard_join  # noqa: E402
+from ticketlens.llm.shingles import shingle_sets  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -101,6 +103,16 @@ def test_closure_of_links_is_union_find(spark, edges):
     assert sorted((r.cls, r.root) for r in got) == sorted((x, r) for x, r in want.items() if x != r)
 
 
+@pytest.mark.parametrize("width", [4, 5])
+def test_tables_of_one_short_text(width):
+    words = "one two three four five six".split()
+    for n in range(1, 7):
+        text = " ".join(words[:n])
+        (alone,) = shingle_sets(pa.array([text]), width)
+        beside = shingle_sets(pa.array([text, " ".join(words * 3)]), width)[0]
+        assert len(alone) == max(1, n - width + 1) and alone.tolist() == beside.tolist()
+
+
 def test_rows_of_chains_come_out_once(spark):
     rng = random.Random(3)
     words = [f"c{i}" for i in range(400)]

@@ -46,7 +46,8 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     of_text = np.searchsorted(starts, offsets)
     rolled = words.copy()
     for k in range(1, width):
-        rolled[: len(words) - k] = mixed(rolled[: len(words) - k] + np.uint64(k)) ^ words[k:]
+        most = max(0, len(words) - k)
+        rolled[:most] = mixed(rolled[:most] + np.uint64(k)) ^ words[k:]
     rolled = mixed(rolled)
     out = []
     for a, b in zip(of_text[:-1].tolist(), of_text[1:].tolist(), strict=True):

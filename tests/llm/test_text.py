@@ -96,6 +96,47 @@ def test_every_bounded_edit_is_found():
     assert scanner.scan("plain words without any notice " * 50)[1] == []
 
 
+def edit_distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j - 1] + (x != y), before[j] + 1, row[-1] + 1))
+    return row[-1]
+
+
+def places(notice, text: str) -> list[tuple[int, int]]:
+    """(first word, edits) of the places of a notice by brute force; of overlapping ones the best stays."""
+    words, found, kept = text.split(), [], []
+    for i in range(len(words)):
+        for j in range(i, len(words)):
+            part = " ".join(words[i : j + 1])
+            if abs(len(part) - len(notice.words)) <= notice.edits:
+                edits = edit_distance(notice.words, part)
+                found += [(edits, i, j)] if edits <= notice.edits else []
+    for edits, i, j in sorted(found):
+        if all(j < a or i > b for _, a, b in kept):
+            kept.append((edits, i, j))
+    return sorted((i, edits) for edits, i, _ in kept)
+
+
+def test_near_notices_are_all_found():
+    rng, scanner = random.Random(4), license_scan.Scanner(license_scan.NOTICES)
+    texts = [(13, "mozila public license or mozilla public license")]
+    for _ in range(150):
+        n = rng.choice([i for i, x in enumerate(license_scan.NOTICES) if x.edits])
+        parts = []
+        for _ in range(rng.randint(2, 5)):
+            letters = list(license_scan.NOTICES[n].words)
+            for _ in range(rng.randint(0, license_scan.NOTICES[n].edits)):
+                letters[rng.choice([j for j, c in enumerate(letters) if c != " "])] = rng.choice("qxz")
+            parts += ["".join(letters), *rng.choices(["or", "and", "license", "public"], k=rng.randint(0, 2))]
+        texts.append((n, " ".join(parts)))
+    for n, text in texts:
+        got = sorted((s[2], s[4]) for s in scanner.scan(text)[1] if s[0] == n)
+        assert got == places(license_scan.NOTICES[n], text), text
+
+
 # --- HTML --------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>

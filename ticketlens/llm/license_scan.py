@@ -129,11 +129,12 @@ class Scanner:
                 else:
                     own.append([low, high])
         for n, own in windows.items():
-            for low, high in own:
-                at = low
-                while m := self.patterns[n].search(folded, at, high):
+            # The best match of a window hides the others, which lie before and after it.
+            while own:
+                low, high = own.pop()
+                if m := self.patterns[n].search(folded, low, high):
                     spans.append((n, m.start(), m.end(), sum(m.fuzzy_counts)))
-                    at = max(m.end(), at + 1)
+                    own += [[low, m.start()], [m.end(), high]]
         out, seen, at = [], -1, 0
         for n, start, end, edits in sorted(spans, key=lambda s: (s[1], s[0])):
             seen += folded.count(" ", at, start)

@@ -256,3 +256,52 @@ def test_report_week_is_checked(desk):
         report.check_week(desk, date(1995, 1, 1))
     early = report.weeks_up_to(desk, date(1995, 1, 15), 13)
     assert early.size == 3 and early.first == datetime(1995, 1, 2)
+
+
+def test_registered_model_queries_do_the_whole_job(desk, monkeypatch):
+    asked = {}
+    scores = {"roc_auc": 0.5, "pr_auc": 0.5, "brier": 0.2, "log_loss": 0.5}
+
+    def fits(jobs, parallelism=4):
+        asked["specs"] = [spec for _, _, spec in jobs]
+        return [dict(scores) for _ in jobs]
+
+    def rounds():
+        return {s.params.get("maxIter") for s in asked["specs"] if s.family != "lr"}
+
+    monkeypatch.setattr(training, "fit_many", fits)
+    monkeypatch.setattr(desk, "_built", {**desk._built})
+    assert catalog.model_grid(desk).count() == len(training.LR_GRID) + len(training.GBT_GRID)
+    assert rounds() == {200}
+    catalog.feature_experiments(desk)
+    assert rounds() == {200} and all("maxIter" not in s.params for s in asked["specs"] if s.family == "lr")
+    catalog.leakage_checks(desk)
+    assert rounds() == {200}
+
+    made = []
+
+    def train(train, valid, spec, version, counts):
+        made.append(spec)
+        return training.BreachModel(None, None, {})
+
+    def importance(fitted, rows, repeats=5):
+        asked.setdefault("repeats", []).append(repeats)
+        return rows.select("ticket_id").limit(1)
+
+    monkeypatch.setattr(training, "train_model", train)
+    monkeypatch.setattr(training, "permutation_importance", importance)
+    splits = {r.split for r in catalog.permutation_importance(desk).collect()}
+    assert splits == {"validation", "test"} and asked["repeats"] == [5, 5]
+    assert made == [desk._built["tuned"][1][desk._built["tuned"][2]]]
+
+
+def test_bootstrap_has_a_thousand_replicates(desk, monkeypatch):
+    seen = []
+
+    def replicates(df, item, replicates=1000):
+        seen.append(replicates)
+        return df.sparkSession.createDataFrame([(1, 0.5, 0.5)], "replicate int, roc_auc double, pr_auc double")
+
+    monkeypatch.setattr(catalog.metrics, "bootstrap_ranking", replicates)
+    catalog.bootstrap_intervals(desk)
+    assert seen == [1000]

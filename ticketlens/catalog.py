@@ -496,7 +496,8 @@ SOURCES: dict[str, Build] = {
 
 # --- model -----------------------------------------------------------------------------
 
-QUICK = {"maxIter": 5, "maxDepth": 3}
+#: Boosting rounds of the registered fits outside the grid.
+FULL = {"maxIter": 200}
 
 
 def feature_rows(desk: Desk) -> DataFrame:
@@ -641,11 +642,16 @@ def _frame(desk: Desk, rows: list[dict], schema: str) -> DataFrame:
 METRICS = "roc_auc double, pr_auc double, brier double, log_loss double"
 
 
+def _tuned(desk: Desk) -> tuple[list[dict], dict[str, training.Spec], str]:
+    """Both full grids; the fits run once for all queries of a desk."""
+    if "tuned" not in desk._built:
+        train, valid, _ = _parts(desk)
+        desk._built["tuned"] = training.tune(train, valid)
+    return desk._built["tuned"]
+
+
 def model_grid(desk: Desk) -> DataFrame:
-    train, valid, _ = _parts(desk)
-    rows, _, winner = training.tune(
-        train, valid, training.QUICK_LR_GRID, training.QUICK_GBT_GRID
-    )
+    rows, _, winner = _tuned(desk)
     for r in rows:
         r["chosen"] = r["model"] == winner
     return _frame(desk, rows, f"model string, params string, chosen boolean, {METRICS}")
@@ -653,7 +659,7 @@ def model_grid(desk: Desk) -> DataFrame:
 
 def feature_experiments(desk: Desk) -> DataFrame:
     train, valid, _ = _parts(desk)
-    specs = training.experiment_specs({"maxIter": 2, "maxDepth": 3}, {"maxIter": 10})
+    specs = training.experiment_specs(FULL)
     rows = training.run_experiments(train, valid, specs)
     return _frame(desk, rows, f"group string, variant string, model string, {METRICS}")
 
@@ -667,11 +673,21 @@ def _quick_model(desk: Desk) -> training.BreachModel:
     return desk._built["quick_model"]
 
 
+def _scoring_model(desk: Desk) -> training.BreachModel:
+    """The winner of both grids, fitted and described."""
+    if "scoring_model" not in desk._built:
+        train, valid, _ = _parts(desk)
+        counts = training.check_splits(model_rows(desk))
+        _, best, winner = _tuned(desk)
+        desk._built["scoring_model"] = training.train_model(train, valid, best[winner], f"{winner}-1", counts)
+    return desk._built["scoring_model"]
+
+
 def model_scores(desk: Desk) -> DataFrame:
     """Every ticket scored by a model that was saved and loaded again."""
     spark = _spark(desk)
     path = f"{shared_root(spark)}/model"
-    training.save_model(_quick_model(desk), spark, path)
+    training.save_model(_scoring_model(desk), spark, path)
     model = training.load_model(spark, path)
     scored = scoring.score_table(
         desk.tickets, model.predict(feature_rows(desk)), model.cuts, model.card["model_version"]
@@ -681,17 +697,22 @@ def model_scores(desk: Desk) -> DataFrame:
 
 def model_test_metrics(desk: Desk) -> DataFrame:
     _, _, test = _parts(desk)
-    return metrics.ranking_metrics(_quick_model(desk).predict(test))
+    return metrics.ranking_metrics(_scoring_model(desk).predict(test))
 
 
 def permutation_importance(desk: Desk) -> DataFrame:
-    _, valid, _ = _parts(desk)
-    return training.permutation_importance(_quick_model(desk).fitted, valid, repeats=2)
+    _, valid, test = _parts(desk)
+    fitted = _scoring_model(desk).fitted
+    parts = [
+        training.permutation_importance(fitted, rows).withColumn("split", F.lit(name))
+        for name, rows in (("validation", valid), ("test", test))
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 def leakage_checks(desk: Desk) -> DataFrame:
     train, valid, test = _parts(desk)
-    rows = training.leakage_checks(train, valid, test, QUICK)
+    rows = training.leakage_checks(train, valid, test, FULL)
     return _frame(desk, rows, f"probe string, {METRICS}")
 
 
@@ -705,12 +726,12 @@ def resolve_time_baseline(desk: Desk) -> DataFrame:
 
 def time_to_resolve(desk: Desk) -> DataFrame:
     train, _, test = _parts(desk)
-    return training.time_to_resolve(train, test, QUICK)
+    return training.time_to_resolve(train, test, FULL)
 
 
 def bootstrap_intervals(desk: Desk) -> DataFrame:
     reps = stage(
-        metrics.bootstrap_ranking(labelled_rows(desk, "test"), "ticket_id", 200), "bootstrap"
+        metrics.bootstrap_ranking(labelled_rows(desk, "test"), "ticket_id"), "bootstrap"
     )
     return metrics.confidence_interval(reps, "roc_auc").unionByName(
         metrics.confidence_interval(reps, "pr_auc")

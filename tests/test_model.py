@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ticketlens import catalog
 from ticketlens.operators.encoding import cyclical
+from ticketlens.operators.ordering import row_numbers
 from ticketlens.plans import enrich, report, training
 from ticketlens.plans import features as FT
 from ticketlens.plans.scoring import Thresholds, flag_for_review, risk_band
@@ -139,7 +140,9 @@ def parts(desk):
 
 @pytest.fixture(scope="module")
 def model(desk):
-    return catalog._quick_model(desk)
+    train, valid, _ = catalog._parts(desk)
+    counts = training.check_splits(catalog.model_rows(desk))
+    return training.train_model(train, valid, training.Spec(params={"C": 1.0}), "lr-1", counts)
 
 
 def test_empty_split_is_an_error(desk):
@@ -259,49 +262,71 @@ def test_report_week_is_checked(desk):
 
 
 def test_registered_model_queries_do_the_whole_job(desk, monkeypatch):
-    asked = {}
-    scores = {"roc_auc": 0.5, "pr_auc": 0.5, "brier": 0.2, "log_loss": 0.5}
+    asked = []
 
     def fits(jobs, parallelism=4):
-        asked["specs"] = [spec for _, _, spec in jobs]
-        return [dict(scores) for _ in jobs]
+        asked.append([spec for _, _, spec in jobs])
+        scores = {"roc_auc": 0.5, "brier": 0.2, "log_loss": 0.5}
+        # One-hot time wins for trees, cyclical time for the linear family.
+        best = {("gbt", "onehot"), ("lr", "cyclical")}
+        return [{**scores, "pr_auc": 0.6 if (s.family, s.time_encoding) in best else 0.5} for _, _, s in jobs]
 
-    def rounds():
-        return {s.params.get("maxIter") for s in asked["specs"] if s.family != "lr"}
+    def rounds(specs):
+        return {s.params.get("maxIter", training.GBT_DEFAULTS["maxIter"]) for s in specs if s.family != "lr"}
 
     monkeypatch.setattr(training, "fit_many", fits)
     monkeypatch.setattr(desk, "_built", {**desk._built})
     assert catalog.model_grid(desk).count() == len(training.LR_GRID) + len(training.GBT_GRID)
-    assert rounds() == {200}
-    catalog.feature_experiments(desk)
-    assert rounds() == {200} and all("maxIter" not in s.params for s in asked["specs"] if s.family == "lr")
+    experiments, grid = asked
+    assert len(experiments) == 17 and rounds(experiments) == {100} and rounds(grid) == {200}
+    assert {(s.family, s.time_encoding) for s in grid} == {("gbt", "onehot"), ("lr", "cyclical")}
+    assert all("maxIter" not in s.params for s in grid if s.family == "lr")
     catalog.leakage_checks(desk)
-    assert rounds() == {200}
+    assert rounds(asked[-1]) == {100}
+    made, repeats = [], []
 
-    made = []
-
-    def train(train, valid, spec, version, counts):
+    def train(train, valid, spec, version, counts, fitted=None, facts=None):
         made.append(spec)
         return training.BreachModel(None, None, {})
 
-    def importance(fitted, rows, repeats=5):
-        asked.setdefault("repeats", []).append(repeats)
+    def importance(fitted, rows, repeats_=5, **kw):
+        repeats.append(repeats_)
         return rows.select("ticket_id").limit(1)
 
     monkeypatch.setattr(training, "train_model", train)
     monkeypatch.setattr(training, "permutation_importance", importance)
     splits = {r.split for r in catalog.permutation_importance(desk).collect()}
-    assert splits == {"validation", "test"} and asked["repeats"] == [5, 5]
-    assert made == [desk._built["tuned"][1][desk._built["tuned"][2]]]
-
+    assert splits == {"validation", "test"} and repeats == [5, 5]
+    assert made == [desk._built["tuned"][1][desk._built["tuned"][2]][0]]
 
-def test_bootstrap_has_a_thousand_replicates(desk, monkeypatch):
-    seen = []
 
-    def replicates(df, item, replicates=1000):
-        seen.append(replicates)
-        return df.sparkSession.createDataFrame([(1, 0.5, 0.5)], "replicate int, roc_auc double, pr_auc double")
-
-    monkeypatch.setattr(catalog.metrics, "bootstrap_ranking", replicates)
-    catalog.bootstrap_intervals(desk)
-    assert seen == [1000]
+def test_card_tells_levels_weights_and_facts(parts, model):
+    assert model.card["training_levels"]["tier"] == sorted(model.card["training_levels"]["tier"])
+    assert model.card["class_weight"] is None and model.card["features"] == FT.feature_schema()
+    balanced = training.train_model(
+        parts[0], parts[1], training.Spec(balanced=True), "b", {}, fitted=model.fitted, facts={"test_metrics": {"lr": 1}}
+    )
+    assert balanced.card["class_weight"] == "balanced" and balanced.card["test_metrics"] == {"lr": 1}
+
+
+def test_importance_equals_permuting_by_hand(parts, model):
+    rows = parts[1].limit(400)
+    got = {r.feature: r for r in training.permutation_importance(model.fitted, rows, repeats=2, seed=3).collect()}
+    base = row_numbers(rows, ["ticket_id"], name="_rn")
+    whole = training.evaluate(model.fitted, rows)["pr_auc"]
+    for c in ("severity", "customer_id", "creation_hour_local"):
+        drops = []
+        for r in range(2):
+            lent = base.select(F.col("_rn").alias("_from"), F.col(c).alias("_lent"))
+            mixed = training.donors(base, r, 3, rows.count()).join(lent, "_from").withColumn(c, F.col("_lent"))
+            drops.append(whole - training.evaluate(model.fitted, mixed)["pr_auc"])
+        assert got[c].importance_mean == pytest.approx(sum(drops) / 2, abs=1e-9)
+
+
+def test_saved_trees_score_the_same(spark, parts, tmp_path):
+    spec = training.Spec(family="gbt", params={"maxIter": 3, "maxLeaves": 6})
+    made = training.train_model(parts[0], parts[1], spec, "gbt-1", {})
+    training.save_model(made, spark, f"file://{tmp_path}/trees")
+    loaded = training.load_model(spark, f"file://{tmp_path}/trees")
+    a, b = (m.predict(parts[2]).select("ticket_id", "p") for m in (made, loaded))
+    assert a.exceptAll(b).count() == 0 and b.count() == parts[2].count()

@@ -496,10 +496,6 @@ SOURCES: dict[str, Build] = {
 
 # --- model -----------------------------------------------------------------------------
 
-#: Boosting rounds of the registered fits outside the grid.
-FULL = {"maxIter": 200}
-
-
 def feature_rows(desk: Desk) -> DataFrame:
     return FT.project_features(desk.tickets, ["ticket_id"])
 
@@ -642,11 +638,20 @@ def _frame(desk: Desk, rows: list[dict], schema: str) -> DataFrame:
 METRICS = "roc_auc double, pr_auc double, brier double, log_loss double"
 
 
-def _tuned(desk: Desk) -> tuple[list[dict], dict[str, training.Spec], str]:
-    """Both full grids; the fits run once for all queries of a desk."""
+def _experiments(desk: Desk) -> list[dict]:
+    """The experiment matrix; the fits run once for all queries of a desk."""
+    if "experiments" not in desk._built:
+        train, valid, _ = _parts(desk)
+        desk._built["experiments"] = training.run_experiments(train, valid, training.experiment_specs())
+    return desk._built["experiments"]
+
+
+def _tuned(desk: Desk) -> tuple[list[dict], dict[str, tuple], str]:
+    """Both full grids, with the time encoding that the experiments chose for each family."""
     if "tuned" not in desk._built:
         train, valid, _ = _parts(desk)
-        desk._built["tuned"] = training.tune(train, valid)
+        chosen = {m: training.pick_time_encoding(_experiments(desk), m) for m in ("lr", "gbt")}
+        desk._built["tuned"] = training.tune(train, valid, time_encoding=chosen)
     return desk._built["tuned"]
 
 
@@ -658,28 +663,23 @@ def model_grid(desk: Desk) -> DataFrame:
 
 
 def feature_experiments(desk: Desk) -> DataFrame:
-    train, valid, _ = _parts(desk)
-    specs = training.experiment_specs(FULL)
-    rows = training.run_experiments(train, valid, specs)
-    return _frame(desk, rows, f"group string, variant string, model string, {METRICS}")
-
-
-def _quick_model(desk: Desk) -> training.BreachModel:
-    if "quick_model" not in desk._built:
-        train, valid, _ = _parts(desk)
-        counts = training.check_splits(model_rows(desk))
-        spec = training.Spec(params=training.QUICK_LR_GRID[0])
-        desk._built["quick_model"] = training.train_model(train, valid, spec, "lr-1", counts)
-    return desk._built["quick_model"]
+    return _frame(desk, _experiments(desk), f"group string, variant string, model string, {METRICS}")
 
 
 def _scoring_model(desk: Desk) -> training.BreachModel:
-    """The winner of both grids, fitted and described."""
+    """The winner of both grids, with its thresholds, the test metrics of both families, and its card."""
     if "scoring_model" not in desk._built:
-        train, valid, _ = _parts(desk)
+        train, valid, test = _parts(desk)
         counts = training.check_splits(model_rows(desk))
         _, best, winner = _tuned(desk)
-        desk._built["scoring_model"] = training.train_model(train, valid, best[winner], f"{winner}-1", counts)
+        spec, fitted = best[winner]
+        facts = {
+            "test_metrics": {m: training.evaluate(f, test) for m, (_, f) in best.items() if f},
+            "split_months": {r["split"]: [r["first_month"], r["last_month"]] for r in split_summary(desk).collect()},
+        }
+        desk._built["scoring_model"] = training.train_model(
+            train, valid, spec, f"{winner}-1", counts, fitted=fitted, facts=facts
+        )
     return desk._built["scoring_model"]
 
 
@@ -712,7 +712,7 @@ def permutation_importance(desk: Desk) -> DataFrame:
 
 def leakage_checks(desk: Desk) -> DataFrame:
     train, valid, test = _parts(desk)
-    rows = training.leakage_checks(train, valid, test, FULL)
+    rows = training.leakage_checks(train, valid, test)
     return _frame(desk, rows, f"probe string, {METRICS}")
 
 
@@ -726,16 +726,60 @@ def resolve_time_baseline(desk: Desk) -> DataFrame:
 
 def time_to_resolve(desk: Desk) -> DataFrame:
     train, _, test = _parts(desk)
-    return training.time_to_resolve(train, test, FULL)
+    return training.time_to_resolve(train, test)
+
+
+def feature_permutations(desk: Desk) -> DataFrame:
+    """The donor of each labelled validation and test ticket in every repeat of the importance."""
+    out = None
+    for split in ("validation", "test"):
+        rows = labelled_rows(desk, split).select("ticket_id")
+        numbered = stage(row_numbers(rows, ["ticket_id"], name="_rn"), "permuted")
+        n = numbered.count()
+        lent = numbered.select(F.col("_rn").alias("_from"), F.col("ticket_id").alias("donor_id"))
+        for r in range(5):
+            part = training.donors(numbered, r, 0, n).join(lent, "_from").select(
+                F.lit(split).alias("split"), F.lit(r).alias("repeat"), "ticket_id", "donor_id"
+            )
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 def bootstrap_intervals(desk: Desk) -> DataFrame:
-    reps = stage(
-        metrics.bootstrap_ranking(labelled_rows(desk, "test"), "ticket_id"), "bootstrap"
-    )
-    return metrics.confidence_interval(reps, "roc_auc").unionByName(
-        metrics.confidence_interval(reps, "pr_auc")
-    )
+    reps = stage(metrics.bootstrap_ranking(labelled_rows(desk, "test")), "bootstrap")
+    both = metrics.confidence_interval(reps, "roc_auc").unionByName(metrics.confidence_interval(reps, "pr_auc"))
+    return metrics.rounded(both)
+
+
+def model_invariants(desk: Desk) -> DataFrame:
+    """What must hold of fitted models whatever their numbers: one row per statement."""
+    spark = _spark(desk)
+    train, valid, _ = _parts(desk)
+    # No encoding that depends on folds, so that training rows are scored as they were trained.
+    spec = training.Spec(target_encoded=(), params={"C": 1.0})
+    fitted = training.fit(train, spec)
+    rows, features = fitted.inputs(train), fitted.features
+    data = stage(training.design.blocks(rows, features, "y"), "invariants")
+    gap = training.newton.score_equations(data, [fitted.model], features, 1)[0]
+    names = training.newton.names(features, fitted.model.columns)
+    path = f"{shared_root(spark)}/invariant-model"
+    model = training.train_model(train, valid, spec, "lr-1", {}, fitted=fitted)
+    training.save_model(model, spark, path)
+    kept = model.predict(valid).select("ticket_id", "p")
+    again = training.load_model(spark, path).predict(valid).select("ticket_id", "p")
+    scored = fitted.predict(train)
+    sums = scored.agg(F.avg("p"), F.avg(F.col("y").cast("double")), F.min("p"), F.max("p")).first()
+    ll = metrics.ranking_metrics(scored).first()["log_loss"]
+    constant = metrics.ranking_metrics(train.withColumn("p", F.lit(float(sums[1])))).first()["log_loss"]
+    facts = [
+        ("score_equations_hold", bool(max(abs(g) for g in gap) < 1e-6), len(gap) - len(names)),
+        ("mean_probability_is_the_rate", bool(abs(sums[0] - sums[1]) < 1e-6), 0),
+        ("probabilities_in_range", bool(0 <= sums[2] and sums[3] <= 1), 0),
+        ("beats_the_constant", bool(ll < constant), 0),
+        ("saved_equals_loaded", kept.exceptAll(again).count() == 0, kept.count() - again.count()),
+        ("training_rows", True, train.count()),
+    ]
+    return spark.createDataFrame(facts, "statement string, holds boolean, rows long")
 
 
 MODEL: dict[str, Build] = {
@@ -757,6 +801,8 @@ MODEL: dict[str, Build] = {
     "leakage_checks": leakage_checks,
     "time_to_resolve": time_to_resolve,
     "bootstrap_intervals": bootstrap_intervals,
+    "feature_permutations": feature_permutations,
+    "model_invariants": model_invariants,
 }
 
 

@@ -7,8 +7,10 @@ distinct probability; the cumulative counts then run over a range-partitioned or
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,27 +160,76 @@ def segment_metrics(
     ).join(point.select(by, "flagged_share", "precision", "recall"), by)
 
 
+#: Probabilities are told apart to six digits here, so that at most 2 * (SCALE + 1) counts describe all rows.
+SCALE = 1_000_000
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A well-mixed 32-bit number per 32-bit number (both in uint64)."""
+    low = np.uint64(0xFFFFFFFF)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        x = ((x ^ (x >> np.uint64(shift))) * np.uint64(factor)) & low
+    return x ^ (x >> np.uint64(16))
+
+
+def _poisson_table(k: int) -> tuple[int, np.ndarray]:
+    """(lowest count, cumulative probabilities from there) of Poisson(k), but for tails below 1e-12."""
+    low, high = max(0, int(k - 9 * k**0.5 - 40)), int(k + 9 * k**0.5 + 40)
+    terms = [math.exp(-k + w * math.log(k) - math.lgamma(w + 1)) for w in range(low, high + 1)]
+    return low, np.cumsum(terms)
+
+
 def bootstrap_ranking(
-    df: DataFrame, item: str, replicates: int = 1000, p: str = "p", y: str = "y", seed: int = 0
+    df: DataFrame, replicates: int = 1000, p: str = "p", y: str = "y", seed: int = 0
 ) -> DataFrame:
-    """Bootstrap replicates of the ranking metrics with Poisson(1) row weights.
+    """replicate, roc_auc and pr_auc of bootstrap samples of the rows; cost free of the number of rows.
 
-    The weight is a function of (row, replicate, seed), so a recomputed task draws the same.
+    Rows that share score and label are drawn together: the sum of k Poisson(1) weights is Poisson(k), taken
+    from a uniform number by the inverse distribution. That number depends on score, label, replicate
+    and seed alone, so a recomputed task draws the same. Tasks get the counts per score and label
+    (bounded: scores have six digits) and work on whole replicates.
     """
-    rep = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
-    rows = df.select(item, p, y, rep)
-    u = (F.xxhash64(F.col(item), F.col("replicate"), F.lit(seed)).bitwiseAND(2**53 - 1)) / float(2**53)
-    # Cumulative Poisson(1) probabilities; beyond twelve the mass is below 1e-10.
-    steps, mass, total = [], math.exp(-1), 0.0
-    for k in range(13):
-        total += mass
-        steps.append(total)
-        mass /= k + 1
-    weight = F.lit(0)
-    for t in steps:
-        weight = weight + (u >= t).cast("int")
-    drawn = rows.withColumn("w", weight).filter("w > 0")
-    return ranking_metrics(drawn, p, y, ["replicate"], weight="w")
+    units = F.floor(F.col(p) * SCALE + 0.5).cast("bigint").alias("units")
+    counts = (
+        df.filter(F.col(p).isNotNull() & F.col(y).isNotNull())
+        .groupBy(units, F.col(y).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("k"))
+        .orderBy(F.col("units").desc(), "label").toArrow()
+    )
+    unit, label, k = (counts.column(c).to_numpy() for c in ("units", "label", "k"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = _mixed((unit * 2 + label + seed * 4_000_003).astype(np.uint64) & np.uint64(0xFFFFFFFF))
+        groups = [(np.flatnonzero(k == n), *_poisson_table(int(n))) for n in np.unique(k)]
+        first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]]) if len(unit) else np.zeros(0, np.int64)
+        for batch in batches:
+            rows = []
+            for r in batch.column(0).to_pylist():
+                u = (_mixed(key ^ _mixed(np.uint64([r]))) + 0.5) / 2.0**32
+                w = np.zeros(len(unit))
+                for at, low, table in groups:
+                    w[at] = low + np.searchsorted(table, u[at], side="right")
+                if not len(first):
+                    continue
+                pos = np.add.reduceat(np.where(label == 1, w, 0.0), first)
+                neg = np.add.reduceat(np.where(label == 1, 0.0, w), first)
+                hits, misses = pos.sum(), neg.sum()
+                above, every = np.cumsum(pos), np.cumsum(pos + neg)
+                both = hits > 0 and misses > 0
+                auc = float((neg * (above - pos / 2)).sum() / (hits * misses)) if both else None
+                seen = every > 0
+                ap = float((pos[seen] * above[seen] / every[seen]).sum() / hits) if both else None
+                rows.append((r, auc, ap))
+            kinds = (pa.int64(), pa.float64(), pa.float64())
+            cols = zip(*rows, strict=True) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["replicate", "roc_auc", "pr_auc"]
+            )
+
+    spark = df.sparkSession
+    tasks = min(replicates, 4 * spark.sparkContext.defaultParallelism)
+    return spark.range(1, replicates + 1, 1, tasks).mapInArrow(
+        draw, "replicate long, roc_auc double, pr_auc double"
+    )
 
 
 def confidence_interval(replicates: DataFrame, metric: str) -> DataFrame:

@@ -67,6 +67,29 @@ def row_numbers(
     return ordered_prefix(df, order, {name: one}, keys, label=f"rows_{name}")
 
 
+SHUFFLE_ROUNDS = 16
+
+
+def shuffled(number: Column, n: int, seed: str, rounds: int = SHUFFLE_ROUNDS) -> Column:
+    """A seeded permutation of 0 .. n - 1 as an expression: no sort, no shuffle of rows, any n.
+
+    Swap or not: a round pairs x with k - x (modulo n) and swaps a pair if a bit says so that depends on the pair. Each
+    round maps the numbers one to one, so all rounds do.
+    """
+    step = F.transform(
+        F.sequence(F.lit(1), F.lit(rounds)), lambda r: F.concat(F.lit(f"{seed}/"), r.cast("string"))
+    )
+
+    def swap(x: Column, name: Column) -> Column:
+        k = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("bigint")
+        other = F.pmod(k - x, F.lit(n).cast("bigint"))
+        pair = F.concat(name, F.lit("/"), F.greatest(x, other).cast("string"))
+        bit = F.conv(F.substring(F.md5(pair), 1, 1), 16, 10).cast("int") % 2
+        return F.when(bit == 1, other).otherwise(x)
+
+    return F.aggregate(step, number.cast("bigint"), swap)
+
+
 def equal_count_bin(row: Column, total: Column, bins: int) -> Column:
     """Bin 1..bins of a 1-based row number; the first ``total % bins`` bins hold one row more."""
     base, extra = F.floor(total / bins), total % bins

@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,14 +44,15 @@ from ticketlens.llm.token_counts import MARK, tokenizer_path
 
 TOKENIZER = "piece_bpe_32k.model"
 SAMPLES, ALPHA, SEED = 2, 0.5, 1
-#: Units a task remembers, to bound its memory.
-UNITS = 100_000
+#: Units a task remembers, to bound its memory (about half a kilobyte each).
+UNITS = 300_000
 #: Units whose lattices are built together.
 ADDED = 16_000
 #: Bytes of text searched at a time; a search holds some fifty bytes per byte of text.
 SLICE_BYTES = 1_500_000
 #: Log-weight of one byte of a character that has no piece.
 BYTE_LOGIT = -14.0
+_HASH_BITS = 21
 _STEP, _PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -120,6 +122,12 @@ class Vocabulary:
         order = np.argsort(keys)
         self.keys = keys[order]
         self.child = np.array(list(edges.values()), dtype=np.int64)[order]
+        # Where a key is, by its hash; the few keys that share a hash are looked up in the sorted list.
+        slot = self._slot(self.keys)
+        self.place = np.zeros(1 << _HASH_BITS, dtype=np.int32)
+        self.place[slot] = np.arange(len(slot))
+        self.shared = np.zeros(1 << _HASH_BITS, dtype=bool)
+        self.shared[slot[self.place[slot] != np.arange(len(slot))]] = True
         self.piece_at = np.full(len(edges) + 1, -1, dtype=np.int64)
         self.piece_at[list(ends)] = list(ends.values())
         self.alpha = alpha
@@ -128,14 +136,47 @@ class Vocabulary:
         self.text_len = lengths
         self.blob = np.frombuffer(b"".join(self.texts), dtype=np.uint8)
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The text's bytes, with the space that stands for the first word mark."""
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys * _STEP) >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
+
+    def edges(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys the trie has, and the states that those lead to."""
+        slot = self._slot(keys)
+        found = self.place[slot]
+        hit = self.keys[found] == keys
+        again = np.flatnonzero(~hit & self.shared[slot])
+        if len(again):
+            found[again] = np.minimum(np.searchsorted(self.keys, keys[again]), len(self.keys) - 1)
+            hit[again] = self.keys[found[again]] == keys[again]
+        return hit, self.child[found[hit]]
+
+    def spelled(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all pieces, end to end, and where each piece ends."""
         lengths = self.text_len[ids]
         ends = np.cumsum(lengths)
         if not len(ids):
-            return b""
+            return self.blob[:0], ends
         shift = np.repeat(self.text_start[ids] - (ends - lengths), lengths)
-        return self.blob[shift + np.arange(ends[-1])].tobytes()
+        return self.blob[shift + np.arange(ends[-1])], ends
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The text's bytes, with the space that stands for the first word mark."""
+        return self.spelled(ids)[0].tobytes()
+
+    def decodes_to(self, ids: np.ndarray, ends: np.ndarray, texts: list[bytes]) -> np.ndarray:
+        """Whether each list of ids (lists end to end, ``ends`` begins with 0) spells its text; a flat comparison."""
+        found, piece_ends = self.spelled(ids)
+        stops = np.concatenate(([0], piece_ends))[ends]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        same = np.diff(stops) == sizes
+        if not same.all():
+            # Only a bug brings us here; lists of other lengths are compared one by one.
+            raw = [found[a:b].tobytes() for a, b in zip(stops[:-1], stops[1:], strict=True)]
+            return np.array([a == b for a, b in zip(raw, texts, strict=True)], dtype=bool)
+        wrong = np.flatnonzero(found != np.frombuffer(b"".join(texts), dtype=np.uint8))
+        same[np.searchsorted(stops[1:], wrong, side="right")] = False
+        return same
 
 
 @lru_cache(maxsize=2)
@@ -164,14 +205,15 @@ class Lattices:
 
     def indices(self, texts: list[list[str]]) -> np.ndarray:
         """The unit number of every unit of every text."""
-        fresh = list({u for units in texts for u in units} - self.known.keys())
+        needed = set(chain.from_iterable(texts))
+        fresh = list(needed - self.known.keys())
         if len(self.known) + len(fresh) > UNITS:
             self.clear()
-            fresh = list({u for units in texts for u in units})
+            fresh = list(needed)
         for i in range(0, len(fresh), ADDED):
             self._add(fresh[i : i + ADDED])
-        get = self.known.__getitem__
-        return np.fromiter((get(u) for units in texts for u in units), np.int64, sum(map(len, texts)))
+        every = map(self.known.__getitem__, chain.from_iterable(texts))
+        return np.fromiter(every, np.int64, sum(map(len, texts)))
 
     def _add(self, units: list[str]) -> None:
         v = self.vocab
@@ -188,9 +230,8 @@ class Lattices:
         depth = 0
         while len(pos):
             key = (state.astype(np.uint64) << np.uint64(21)) | chars[pos + depth].astype(np.uint64)
-            found = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
-            hit = v.keys[found] == key
-            pos, state = pos[hit], v.child[found[hit]]
+            hit, state = v.edges(key)
+            pos = pos[hit]
             piece = v.piece_at[state]
             whole = piece >= 0
             depth += 1
@@ -449,7 +490,7 @@ def _encode(tokenizer: str, k: int, alpha: float, seed: int) -> Callable[[Iterat
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 texts, ids = part.column("text").to_pylist(), part.column("key").to_pylist()
-                at, rank, lists, logp, inclusion, same = [], [], [], [], [], []
+                at, rank, lists, logp, inclusion, spell = [], [], [], [], [], []
                 for i, found in enumerate(sampler.sample(texts, row_keys(ids, seed))):
                     text = (" " + texts[i].replace(MARK, " ")).encode("utf-8", "surrogatepass") if texts[i] else b""
                     for r, (own, lp, q) in enumerate(found):
@@ -458,9 +499,10 @@ def _encode(tokenizer: str, k: int, alpha: float, seed: int) -> Callable[[Iterat
                         lists.append(own)
                         logp.append(lp)
                         inclusion.append(q)
-                        same.append(vocab.decode(own) == text)
+                        spell.append(text)
                 ends = np.cumsum([0] + [len(x) for x in lists])
                 values = np.concatenate(lists).astype(np.int32) if lists else np.zeros(0, dtype=np.int32)
+                same = vocab.decodes_to(values, ends, spell)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").take(pa.array(at, pa.int64())),

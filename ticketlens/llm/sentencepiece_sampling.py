@@ -44,8 +44,9 @@ from ticketlens.llm.token_counts import MARK, tokenizer_path
 
 TOKENIZER = "piece_bpe_32k.model"
 SAMPLES, ALPHA, SEED = 2, 0.5, 1
-#: Units a task remembers, to bound its memory (about half a kilobyte each).
-UNITS = 300_000
+#: Units a task remembers, to bound its memory (about two kilobytes each), and how many of them, the most used
+#: ones, stay when they become too many.
+UNITS, KEPT = 160_000, 90_000
 #: Units whose lattices are built together.
 ADDED = 16_000
 #: Bytes of text searched at a time; a search holds some fifty bytes per byte of text.
@@ -193,6 +194,7 @@ class Lattices:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.uses = np.zeros(0, dtype=np.int64)
         self.base = np.zeros(0, dtype=np.int64)
         self.end = np.zeros(0, dtype=np.int64)
         self.nodes = 0
@@ -208,12 +210,41 @@ class Lattices:
         needed = set(chain.from_iterable(texts))
         fresh = list(needed - self.known.keys())
         if len(self.known) + len(fresh) > UNITS:
-            self.clear()
-            fresh = list(needed)
+            self._forget()
+            fresh = list(needed - self.known.keys())
         for i in range(0, len(fresh), ADDED):
             self._add(fresh[i : i + ADDED])
         every = map(self.known.__getitem__, chain.from_iterable(texts))
-        return np.fromiter(every, np.int64, sum(map(len, texts)))
+        out = np.fromiter(every, np.int64, sum(map(len, texts)))
+        self.uses = np.bincount(out, minlength=len(self.known)) + np.pad(self.uses, (0, len(self.known) - len(self.uses)))
+        return out
+
+    def _forget(self) -> None:
+        """Keep the most used units; their nodes and arcs close ranks. Uses halve, so that old ones fade."""
+        often = np.flatnonzero(self.uses > 1)
+        keep = np.sort(often[np.argsort(-self.uses[often], kind="stable")[:KEPT]])
+        if not len(keep):
+            self.clear()
+            return
+
+        def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+            ends = np.cumsum(count)
+            return np.repeat(start - (ends - count), count) + np.arange(ends[-1])
+
+        base, end = self.base[keep], self.end[keep]
+        nodes = ranges(base, end - base + 1)
+        first, arcs_of = self.arc_start[base], self.arc_start[end + 1] - self.arc_start[base]
+        arcs = ranges(first, arcs_of)
+        moved = np.cumsum(end - base + 1) - (end - base + 1)
+        shift = np.repeat(moved - base, arcs_of).astype(np.int32)
+        per_node = self.arc_start[nodes + 1] - self.arc_start[nodes]
+        self.arc_start = np.concatenate(([0], np.cumsum(per_node)))
+        self.arc_node, self.arc_next = self.arc_node[arcs] + shift, self.arc_next[arcs] + shift
+        self.arc_id, self.arc_logp, self.arc_upto = self.arc_id[arcs], self.arc_logp[arcs], self.arc_upto[arcs]
+        self.base, self.end, self.nodes = moved, moved + end - base, len(nodes)
+        names = list(self.known)
+        self.known = {names[i]: n for n, i in enumerate(keep.tolist())}
+        self.uses = self.uses[keep] // 2
 
     def _add(self, units: list[str]) -> None:
         v = self.vocab

@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 import sys
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -137,6 +138,16 @@ def test_near_notices_are_all_found():
         assert got == places(license_scan.NOTICES[n], text), text
 
 
+def test_many_chained_notices_take_linear_time():
+    scanner = license_scan.Scanner(license_scan.NOTICES)
+    few = "mozila public license or mozilla public license and license public "
+    one, _ = len(scanner.scan(few)[1]), scanner.scan(few * 50)
+    start = time.perf_counter()
+    found = scanner.scan(few * 15_000)[1]
+    assert len(few) * 15_000 > 1_000_000 and time.perf_counter() - start < 60
+    assert len(found) == one * 15_000
+
+
 # --- HTML --------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -156,6 +167,31 @@ def test_main_text(box):
     assert html_extraction.extract(PAGE % {"open": box[0], "close": box[1]}) == TEXT
 
 
+@pytest.mark.parametrize(
+    ("middle", "text"),
+    [
+        ('<svg width="3"/>', None),
+        ("<svg><title>An icon</title><path d='x'></svg>", None),
+        ("<svg><text>open", None),
+        ("<math/>", None),
+        ("<object>", None),
+        ("<template><p>Never shown at all, a template of a page.</p></template>", None),
+        ("<p>The sum <math><mi>e</mi><mo>=</mo><mn>2</mn></math> is <svg><text>x</text></svg>well known.</p>", "The sum e=2 is well known."),
+    ],
+)
+def test_embedded_elements_keep_the_text_around_them(middle, text):
+    page = f"<article><p>The first paragraph of the text.</p>{middle}<p>The second paragraph of the text.</p></article>"
+    want = ["The first paragraph of the text.", *([text] if text else []), "The second paragraph of the text."]
+    assert html_extraction.extract(page) == "\n".join(want)
+
+
+def test_broken_tags_take_linear_time():
+    start = time.perf_counter()
+    for page in ("<a x='y' " * 60_000, "<p>text</p>" + "<b " * 150_000):
+        html_extraction.extract(page)
+    assert time.perf_counter() - start < 20
+
+
 def test_pages_and_edge_rows(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     for r in html_extraction.extract_pages(pages).join(pages.select("page_id", "html"), "page_id").collect():
@@ -212,6 +248,13 @@ def test_nothing_to_learn_from(spark):
     assert {r.lang_pred for r in language_id.identify(edge.frame(spark), model).collect()} == {"und"}
 
 
+def test_more_languages_than_a_byte_holds():
+    scores = -np.ones((200, 200), dtype=np.float32)
+    scores[np.arange(200), np.arange(200)] = 0
+    words = np.array([199, 199, 150, 150])
+    assert language_id.viterbi(scores, words, np.array([4]), 0.5).tolist() == [199, 199, 150, 150]
+
+
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(5)
     for _ in range(60):

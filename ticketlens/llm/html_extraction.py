@@ -46,13 +46,16 @@ NAME_PART = re.compile(r"[a-z]+")
 # Names of the HTML standard.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby "
-    "s samp small span strike strong sub sup time tt u var wbr br img".split()
+    "s samp small span strike strong sub sup time tt u var wbr br img svg object "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mspace semantics".split()
 )
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
-RAW = frozenset("script style noscript template textarea title iframe object svg math".split())
-UNSEEN = RAW | frozenset("head select option button datalist canvas audio video".split())
+RAW = frozenset("script style noscript textarea title iframe".split())
+#: What stands in drawings only.
+DRAWN = frozenset("g path rect circle ellipse line polyline polygon text tspan defs use desc".split())
+UNSEEN = RAW | frozenset("head template select option button datalist canvas audio video".split())
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 "
     "h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
@@ -164,6 +167,9 @@ def blocks_of(page: str) -> list[Block]:
 
     def add(raw: str) -> None:
         nonlocal current
+        # Labels of a drawing inside a sentence are no text of it.
+        if opened.get("svg"):
+            return
         if current is None:
             if not raw or raw.isspace():
                 return
@@ -188,9 +194,10 @@ def blocks_of(page: str) -> list[Block]:
                 if top.tag == tag:
                     return
 
-    pos, size = 0, len(page)
+    # Behind the last > no tag can end, so nothing is searched there.
+    pos, size, last = 0, len(page), page.rfind(">")
     while pos < size:
-        m = TOKEN.search(page, pos)
+        m = TOKEN.search(page, pos) if pos <= last else None
         if m is None:
             add(page[pos:])
             break
@@ -201,7 +208,8 @@ def blocks_of(page: str) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
-        inline = tag in INLINE
+        # Parts of a drawing don't end the block that it stands in.
+        inline = tag in INLINE or tag in DRAWN
         if not inline:
             current = None
         if m["end"]:
@@ -217,6 +225,10 @@ def blocks_of(page: str) -> list[Block]:
                 current.parts.append(" ")
             continue
         if not inline:
+            # A block ends a drawing or formula that was left open, as browsers have it.
+            if tag in CLOSES_P:
+                close("svg")
+                close("math")
             if tag in CLOSES_P and opened.get("p"):
                 close("p")
             around = SELF_NESTING.get(tag)

@@ -210,7 +210,7 @@ def viterbi(scores: np.ndarray, words: np.ndarray, lengths: np.ndarray, switch:
     side by side, longest first, one word per step.
     """
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    labels = np.zeros(len(words), dtype=np.int8)
+    labels = np.zeros(len(words), dtype=np.int32)
     # A path that changes costs at least one switch. Where the best unchanging path costs no
     # more, it is the best one.
     filled = lengths > 0
@@ -234,7 +234,7 @@ def viterbi(scores: np.ndarray, words: np.ndarray, lengths: np.ndarray, switch:
         jump = now[np.arange(k), top] - switch
         stay = now >= jump[:, None]
         stays.append(stay)
-        froms.append(top.astype(np.int8))
+        froms.append(top.astype(np.int32))
         value[:k] = np.maximum(now, jump[:, None]) + scores[words[begin[:k] + t]]
     state = np.zeros(len(todo), dtype=np.int64)
     done = len(todo)

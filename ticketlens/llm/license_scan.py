@@ -17,6 +17,8 @@ equal results; an empty table gives no rows. Texts of any length are read whole.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -107,6 +109,41 @@ class Scanner:
             self.seeds.add_word(part, (len(part), uses))
         self.seeds.make_automaton()
 
+    def _matches(self, folded: str, n: int, windows: list[list[int]]) -> list[tuple[int, int, int]]:
+        """(start, end, edits) of a notice's places in its seeds' windows; of overlapping ones the best stays.
+
+        A window is about as long as the notice, however many seeds follow one another, so the cost is linear.
+        """
+        notice, pattern = self.notices[n], self.patterns[n]
+        short, long = len(notice.words) - notice.edits, len(notice.words) + 4 * notice.edits + 4
+        merged: list[list[int]] = []
+        for low, high in sorted(windows):
+            # The seeds of one place have windows that differ by a few characters.
+            if merged and high - merged[-1][0] <= long:
+                merged[-1][1] = max(merged[-1][1], high)
+            else:
+                merged.append([low, high])
+        heap: list[tuple[int, int, int, int, int]] = []
+
+        def search(low: int, high: int) -> None:
+            if high - low >= short and (m := pattern.search(folded, low, high)):
+                heapq.heappush(heap, (sum(m.fuzzy_counts), m.start(), m.end(), low, high))
+
+        for low, high in merged:
+            search(low, high)
+        taken: list[tuple[int, int, int]] = []
+        while heap:
+            edits, start, end, low, high = heapq.heappop(heap)
+            i = bisect.bisect(taken, (start, end, edits))
+            over = [t for t in taken[max(0, i - 1) : i + 1] if t[0] < end and t[1] > start]
+            if not over:
+                bisect.insort(taken, (start, end, edits))
+                over = [(start, end, edits)]
+            # What the better match hides in this window lies before or after it.
+            search(low, over[0][0])
+            search(over[-1][1], high)
+        return taken
+
     def scan(self, text: str) -> tuple[int, list[tuple[int, str, int, int, int, str]]]:
         """The number of words, and (notice, label, first word, last word, edits, matched words)."""
         words = text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
@@ -122,19 +159,9 @@ class Scanner:
                     continue
                 low = max(0, start - offset - notice.edits - 1)
                 high = min(len(folded), start - offset + len(notice.words) + notice.edits + 1)
-                own = windows.setdefault(n, [])
-                if own and low <= own[-1][1]:
-                    own[-1][1] = max(own[-1][1], high)
-                    own[-1][0] = min(own[-1][0], low)
-                else:
-                    own.append([low, high])
+                windows.setdefault(n, []).append([low, high])
         for n, own in windows.items():
-            # The best match of a window hides the others, which lie before and after it.
-            while own:
-                low, high = own.pop()
-                if m := self.patterns[n].search(folded, low, high):
-                    spans.append((n, m.start(), m.end(), sum(m.fuzzy_counts)))
-                    own += [[low, m.start()], [m.end(), high]]
+            spans += [(n, *m) for m in self._matches(folded, n, own)]
         out, seen, at = [], -1, 0
         for n, start, end, edits in sorted(spans, key=lambda s: (s[1], s[0])):
             seen += folded.count(" ", at, start)

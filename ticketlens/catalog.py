@@ -69,7 +69,7 @@ def processed_roundtrip(desk: Desk) -> DataFrame:
     out = f"{shared_root(_spark(desk))}/processed"
     wide = desk.get("tickets").select(*enrich.FACT_COLUMNS, *enrich.WIDE_EXTRAS)
     rejected = desk.get("cleaned").rejected
-    tables.write_processed({"tickets": wide, "rejected": rejected}, out, "csv")
+    tables.write_processed({"tickets": wide, "history": desk.history, "rejected": rejected}, out, "csv")
     back = tables.read_processed(_spark(desk), f"{out}/tickets", wide.schema, "csv")
     return back.select(
         "ticket_id",
@@ -154,7 +154,7 @@ def overwritten_scores(desk: Desk) -> DataFrame:
     path = f"{shared_root(_spark(desk))}/ticket_risk_score"
     for _ in range(2):
         tables.overwrite_scores(desk.scores, path)
-    back = _spark(desk).read.parquet(path)
+    back = tables.read_published(_spark(desk), path, desk.scores.schema)
     return back.groupBy("model_version", "risk_band", "split").agg(
         F.count(F.lit(1)).alias("tickets")
     )

@@ -53,16 +53,15 @@ def main() -> None:
         consume(query(spark, sf_dir))
         seconds[name] = timed(lambda: consume(query(spark, sf_dir)))
     train, valid, _ = catalog._parts(desk)
-    # One full fit with validation metrics of each family, as the published table has them.
-    fits = {"train_lr": training.Spec(params={"C": 10.0}), "train_gbt": training.Spec(family="gbt", params=training.GBT_GRID[0])}
-    for name, spec in fits.items():
-        seconds[name] = timed(lambda spec=spec: training.fit_and_evaluate(train, valid, spec))
+    # A whole fit with validation metrics, as the published table has it.
+    spec = training.Spec(params={"C": 10.0})
+    seconds["train_lr"] = timed(lambda: training.fit_and_evaluate(train, valid, spec))
     for name in ("bootstrap_intervals", "feature_permutations"):
         seconds[name] = timed(lambda name=name: consume(catalog.QUERIES[name](spark, sf_dir)))
     print(
         json.dumps(
             {
-                "metric": "total seconds of load, views, reports and one full model fit of each family",
+                "metric": "total seconds of load, views, reports and one full model fit",
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,

@@ -245,7 +245,7 @@ def test_bootstrap_mean_is_near_the_point_estimate(spark):
         (F.when(F.col("id") % 4 == 0, 0.3).otherwise(0.1) + (F.col("id") * 7919 % 1000) / 1500).alias("p"),
     )
     point = metrics.ranking_metrics(df).first()["roc_auc"]
-    reps = metrics.bootstrap_ranking(df, "id", 40)
+    reps = metrics.bootstrap_ranking(df, 40)
     row = metrics.confidence_interval(reps, "roc_auc").first()
     assert row["replicates"] == 40
     assert row["low"] < point < row["high"] and abs(row["mean"] - point) < 0.01

@@ -44,7 +44,9 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A cache of its own per call, so that a call shows the whole work.
     cache = f"{shared_root(spark)}/token-cache-{uuid.uuid4().hex}"
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), cache)
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), cache)
+    token_counts.delete_cache(spark, cache)
+    return counted
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ an end, a literal word mark) are encoded whole, as are all texts where the prope
 
 Defined results: null counts as the empty text, with no token; equal texts have equal counts; an
 empty table gives no rows and leaves the cache as it is. Texts of any length are encoded whole.
+Rows that repeat id and text (null ids included) are one miss: the cache takes one row per text.
+Only the id and text columns are read, so other columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -147,13 +149,23 @@ def count_tokens(
     stored = _stored(spark, folder)
     if stored is not None:
         wanted = wanted.join(stored.select("digest"), "digest", "left_anti")
-    texts = rows.select("digest", id_text(F.col("doc_id")).alias("_at"), "text")
-    misses = texts.join(wanted.hint("shuffle_hash"), ["digest", "_at"]).select("digest", "text")
+    # Rows that repeat id and text are dropped where they are read, before the shuffle that the
+    # join uses as well.
+    texts = rows.select("digest", id_text(F.col("doc_id")).alias("_at"), "text").dropDuplicates(["digest", "_at"])
+    misses = texts.join(wanted.hint("merge"), ["digest", "_at"]).select("digest", "text")
     counted = misses.mapInArrow(_encode_misses(tokenizer), "digest binary, n_tokens bigint")
     counted.write.mode("append").parquet(folder)
+    # Of a cache of many corpora only this one's digests are grouped.
     known = spark.read.schema("digest binary, n_tokens bigint").parquet(folder)
+    known = known.join(keys.select("digest").distinct(), "digest", "left_semi")
     # Written, so that a digest with very many documents can be split in the join.
     counts = stage(known.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token_counts")
     return keys.join(counts, "digest").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
+
+
+def delete_cache(spark: SparkSession, cache: str) -> None:
+    """Remove a cache folder; results of ``count_tokens`` do not read it any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

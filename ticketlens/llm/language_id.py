@@ -11,15 +11,16 @@ A word's score for a language is the mean over its longest n-grams of log p(n-gr
 with add-one smoothing, times its length up to ``EVIDENCE`` characters. Only languages that use
 the word's script are candidates: scripts are ranges of code points, and a language uses a
 script if at least ``SCRIPT_SHARE`` of its labelled letters are of it. If no language does, all
-are candidates. Words without a letter score the same for all. Viterbi then finds the labels of
+are candidates. A run of letters is cut where its script changes, as Han or kana run on into Latin
+without a space, so each part is a word with candidates of its own. Viterbi then finds the labels of
 all words of a text with the highest sum of scores minus ``SWITCH`` per change of language, over
 the whole text; runs of one label are the spans. The text's language is the one with most
-letters in its spans, and the score is that share of the letters times the posterior odds that
-its words have for the language.
+letters in its spans, and the score is that share of the letters.
 
 Defined results: null, and text without a letter, is ``und`` with score 0; equal texts have equal
 results; ties between languages go to the first in code-point order; with no labelled text at
-all everything is ``und``; an empty table gives no rows.
+all everything is ``und``; an empty table gives no rows. Only the named columns are read, so
+others of any name do no harm; where rows are kept they keep all their columns.
 """
 
 from __future__ import annotations
@@ -84,12 +85,30 @@ def script_of(letter: str) -> str:
     return SCRIPTS[bisect_right(_STARTS, ord(letter)) - 1][1]
 
 
+def _script_run() -> re.Pattern[str]:
+    """Matches characters of one script; apostrophes belong to any."""
+    ranges: dict[str, str] = {}
+    for (start, name), end in zip(SCRIPTS, [*_STARTS[1:], 0x110000], strict=True):
+        ranges[name] = ranges.get(name, "") + f"\\U{start:08x}-\\U{end - 1:08x}"
+    return re.compile("|".join(f"[{r}'’]+" for r in ranges.values()))
+
+
+SCRIPT_RUN = _script_run()
+
+
 def words_of(text: str) -> list[str]:
-    """Runs of letters, lower-cased and composed."""
+    """Runs of letters of one script, lower-cased and composed."""
     found = WORD.findall(unicodedata.normalize("NFC", text).lower())
     if text.isascii():
         return found
-    return [w for w in found if w.isascii() or any(map(str.isalpha, w))]
+    out = []
+    for w in found:
+        if w.isascii():
+            out.append(w)
+        elif any(map(str.isalpha, w)):
+            parts = SCRIPT_RUN.findall(w)
+            out += parts if len(parts) == 1 else [p for p in (q.strip("'’") for q in parts) if any(map(str.isalpha, p))]
+    return out
 
 
 def grams(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:

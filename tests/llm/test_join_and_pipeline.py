@@ -133,6 +133,40 @@ def test_join_on_edge_rows(spark):
     assert kept.schema == edge.frame(spark).schema
 
 
+def test_null_and_repeated_ids_keep_one_row_of_a_component(spark):
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(900)]
+    base = [rng.choice(vocabulary) for _ in range(90)]
+    clean = [" ".join(rng.choice(vocabulary) for _ in range(40)) for _ in range(4)]
+    near = [" ".join(edge.mutated(rng, base, 1, vocabulary)) for _ in range(60)]
+    rows = [(None, t) for t in near] + [(5, near[0]), (5, clean[0]), (5, clean[0]), (5, near[1])]
+    rows += [(None, clean[1])] * 7 + [(8, clean[2]), (9, None), (9, None), (None, ""), (None, clean[3])]
+    docs = spark.createDataFrame([(i, t, "x", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, digest string, n long")
+    kept = jaccard_join.kept_documents(docs.repartition(5))
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    texts = [(r.doc_id, r.text) for r in got]
+    members = [(i, t) for i, t in texts if t in near]
+    assert len(members) == 1 and members[0][0] == 5 and members[0][1] in near[:2]
+    rest = sorted(map(repr, (x for x in texts if x[1] not in near)))
+    assert rest == sorted(map(repr, [(5, clean[0]), (None, clean[1]), (8, clean[2]), (9, None), (9, None), (None, ""), (None, clean[3])]))
+    found = jaccard_join.near_duplicates(docs.repartition(3)).collect()
+    assert len(found) == len(rows) and sum(r.component_id == 5 for r in found) == 64
+
+
+def test_all_stages_in_a_chain_on_edge_rows(spark):
+    docs = edge.frame(spark)
+    kept = docs
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, kept, SF_DIR)
+        assert out.schema.names == docs.schema.names
+        kept = spark.createDataFrame(out.collect(), docs.schema)
+    texts = [r.text for r in kept.collect()]
+    assert set(texts) <= {t for _, t, *_ in edge.rows() if t}
+    encoded = corpus_pipeline.STAGES[-1][1](spark, kept, SF_DIR)
+    assert encoded.filter("not round_trip").count() == 0 and encoded.filter("sample = 1").count() == len(texts)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     seen = [docs]

@@ -46,6 +46,20 @@ def test_counts_are_the_library_s_and_cached(spark, library, tmp_path):
     assert token_counts.count_tokens(edge.empty(spark), f"{cache}-2").collect() == []
 
 
+def test_repeats_of_id_and_text_are_encoded_once(spark, tmp_path):
+    cache = f"file://{tmp_path}/cache"
+    rows = [(None, "one text")] * 300 + [(7, "one text")] * 5 + [(7, "another")] * 40 + [(None, None)] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = token_counts.count_tokens(docs, cache).collect()
+    assert Counter((r.doc_id, r.n_bytes) for r in got) == Counter((i, len(t or "")) for i, t in rows)
+    folder = f"{cache}/{token_counts.tokenizer_digest(MODEL)}"
+    assert spark.read.parquet(folder).count() == 3
+    # A cache that other corpora filled gives only this one's counts.
+    other = token_counts.count_tokens(spark.createDataFrame([(1, "another")], docs.schema), cache).collect()
+    assert [(r.doc_id, r.n_bytes) for r in other] == [(1, 7)]
+    assert spark.read.parquet(folder).count() == 3
+
+
 def test_json_tokenizer(spark, tmp_path):
     from tokenizers import Tokenizer
 
@@ -285,6 +299,26 @@ def test_spans_of_mixed_text_and_scripts(spark):
     assert lang in ("en", "de")
 
 
+def test_words_are_cut_where_the_script_changes(spark):
+    assert language_id.words_of("Über l’été it's п'ять") == ["über", "l’été", "it's", "п'ять"]
+    assert language_id.words_of("日本語のPythonコードs") == ["日本語", "の", "python", "コード", "s"]
+    assert language_id.words_of("abc'где") == ["abc", "где"]
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(rng.choice("ab'’éжд日本のコ한ø \U00020001") for _ in range(20))
+        words = language_id.words_of(text)
+        letters = [c for c in text if c.isalpha()]
+        assert [c for w in words for c in w if c.isalpha()] == letters
+        assert all(len({language_id.script_of(c) for c in w if c.isalpha()}) == 1 for w in words)
+    # A sentence without spaces has spans of both its scripts.
+    rows = [(i, "日本語の文章を書くことはとても楽しい", "ja") for i in range(9)]
+    rows += [(50 + i, "the quick brown fox and the lazy dog", "en") for i in range(9)]
+    model = language_id.learn(spark.createDataFrame(rows, "id long, text string, lang string"))
+    labeller = language_id.Labeller(model)
+    ((_, _, spans),) = labeller.label(["日本語の文章を書くthequickbrownfoxandthelazydog楽しいことは"])
+    assert [s["lang"] for s in spans] == ["ja", "en", "ja"]
+
+
 # --- SentencePiece -----------------------------------------------------------------------
 
 

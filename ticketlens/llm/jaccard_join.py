@@ -29,7 +29,10 @@ Nothing is sampled or capped: all classes, tokens and pairs that can link are lo
 Defined results: null and empty texts, and texts without a word, have an empty set, link with
 nothing and are their own component; a text with fewer words than a shingle has its whole sequence
 as one. Ties and repeated rows fall in one class; a null id counts as larger than all others. An
-empty table gives no rows. Other columns of the input are not read.
+empty table gives no rows. Other columns of the input are not read. Where rows are kept, one row of
+every component stays: the one with the smallest id (null last), then the smallest digest of its
+text; of rows that repeat id and text any one. Rows without a word all stay. All columns are kept
+but ``_near_id`` and ``_near_text``, names that the operator reserves.
 """
 
 from __future__ import annotations
@@ -101,12 +104,13 @@ def _prefixes(
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("text_digest"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                         pa.array([m for m, _ in found], pa.int32()),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)),
                     ],
-                    ["doc_id", "n", "digest", "matches", "prefix"],
+                    ["doc_id", "text_digest", "n", "digest", "matches", "prefix"],
                 )
 
     return run
@@ -352,29 +356,32 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("cls"), F.col("b").alias("root"))
 
 
-def near_duplicates(
-    docs: DataFrame,
-    width: int = WORDS,
-    percent: int = PERCENT,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest id of the component) of every row."""
+def text_digest(text: Column) -> Column:
+    """Tells texts under one id apart: 16 bytes of their SHA-256."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
+def _grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, text_digest, n, digest of the set), and the component of every set.
+
+    A component is its root class, its smallest id and the first of its rows.
+    """
     texts = docs.select(F.col(id_col).alias("doc_id"), text_of(F.col(text_col)).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     load, base = frequency_sketch(texts, width)
     rows = stage(
-        texts.mapInArrow(
+        texts.withColumn("text_digest", text_digest(F.col("text"))).mapInArrow(
             _prefixes(width, percent, load, base),
-            f"doc_id {kind}, n bigint, digest binary, matches int, prefix array<bigint>",
+            f"doc_id {kind}, text_digest binary, n bigint, digest binary, matches int, prefix array<bigint>",
         ),
         "jaccard_rows",
     )
+    first_row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_digest")
     all_classes = stage(
         rows.filter("n > 0")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("id"), F.first(F.struct("n", "matches", "prefix")).alias("f"))
-        .select(F.monotonically_increasing_id().alias("cls"), "digest", "id", "f.*"),
+        .agg(F.min(first_row).alias("first"), F.first(F.struct("n", "matches", "prefix")).alias("f"))
+        .select(F.monotonically_increasing_id().alias("cls"), "digest", "first", "f.*"),
         "jaccard_classes",
     )
     postings = all_classes.select("cls", F.explode("prefix").alias("token"))
@@ -383,24 +390,25 @@ def near_duplicates(
     )
     shared = stage(postings.join(tokens, "token"), "jaccard_shared")
     # The prefixes have done their work; what follows reads the tables without them.
-    members = stage(rows.select("doc_id", "n", "digest"), "jaccard_members")
+    members = stage(rows.select("doc_id", "text_digest", "n", "digest"), "jaccard_members")
     classes = stage(
-        all_classes.select("cls", "digest", "id", "n", "matches", F.size("prefix").alias("length")), "jaccard_facts"
+        all_classes.select("cls", "digest", "first", "n", "matches", F.size("prefix").alias("length")), "jaccard_facts"
     )
     discard(rows, all_classes, tokens)
     facts = classes.select("cls", "n", "matches", "length")
     hubs = _hubs(shared, facts)
     crossing = stage(_between_stars(shared, facts, hubs, percent), "jaccard_candidates")
 
-    # Whole sets, only of classes that are verified against another.
+    # Whole sets, only of classes that are verified against another: of the first row of each,
+    # known by its id and text, so that rows that share an id do not meet.
     asked = hubs.select("cls").union(hubs.select("hub")).union(crossing.select("a")).union(crossing.select("b"))
-    meeting = classes.select("cls", "digest", id_text(F.col("id")).alias("_key")).join(
-        asked.distinct(), "cls", "left_semi"
-    )
+    meeting = classes.select(
+        "cls", "digest", id_text(F.col("first.doc_id")).alias("_key"), F.col("first.text_digest").alias("_same")
+    ).join(asked.distinct(), "cls", "left_semi")
     sets = stage(
-        texts.withColumn("_key", id_text(F.col("doc_id")))
-        .join(meeting, "_key")
-        .groupBy("_key", "cls", "digest", F.xxhash64("text").alias("_same"))
+        texts.select(id_text(F.col("doc_id")).alias("_key"), text_digest(F.col("text")).alias("_same"), "text")
+        .join(meeting, ["_key", "_same"])
+        .groupBy("_key", "_same", "cls", "digest")
         .agg(F.first("text").alias("text"))
         .select("cls", "digest", "text")
         .mapInArrow(_sets(width), "cls bigint, tokens array<bigint>"),
@@ -413,25 +421,55 @@ def near_duplicates(
 
     roots = components(links)
     discard(sets)
-    rooted = classes.select("cls", "digest", "id").join(roots, "cls", "left").withColumn(
+    rooted = classes.select("cls", "digest", "first").join(roots, "cls", "left").withColumn(
         "root", F.coalesce("root", "cls")
     )
     rooted = stage(rooted, "jaccard_rooted")
-    lowest = stage(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "jaccard_lowest")
-    named = stage(rooted.join(lowest, "root").select("digest", "component_id"), "jaccard_named")
+    lowest = stage(rooted.groupBy("root").agg(F.min("first").alias("first")), "jaccard_lowest")
+    named = stage(rooted.select("digest", "root").join(lowest, "root").select("digest", "first"), "jaccard_named")
+    return members, named
+
+
+def near_duplicates(
+    docs: DataFrame,
+    width: int = WORDS,
+    percent: int = PERCENT,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest id of the component) of every row."""
+    members, named = _grouped(docs, width, percent, id_col, text_col)
     alone = members.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    grouped = members.filter("n > 0").select("doc_id", "n", "digest").join(named, "digest").select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id"
+    grouped = members.filter("n > 0").join(named, "digest").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id")
     )
     return grouped.unionByName(alone)
 
 
-def kept_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay: of every component the one with the smallest id."""
-    found = near_duplicates(docs, width, percent)
-    gone = found.filter("doc_id <> component_id").select(id_text(F.col("doc_id")).alias("_near_id")).distinct()
-    return (
-        docs.withColumn("_near_id", id_text(F.col("doc_id")))
-        .join(gone, "_near_id", "left_anti")
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+def kept_documents(
+    docs: DataFrame,
+    width: int = WORDS,
+    percent: int = PERCENT,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` that stay: one of every component, and all rows without a word."""
+    members, named = _grouped(docs, width, percent, id_col, text_col)
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_digest") == F.col("first.text_digest"))
+    # By id and text: whether the rows go, stay, or stay as one.
+    judged = stage(
+        members.filter("n > 0")
+        .join(named, "digest")
+        .groupBy(id_text(F.col("doc_id")).alias("_near_id"), F.col("text_digest").alias("_near_text"))
+        .agg(F.bool_or(is_first).alias("stays"), F.count(F.lit(1)).alias("copies")),
+        "jaccard_judged",
+    )
+    keyed = docs.withColumns(
+        {"_near_id": id_text(F.col(id_col)), "_near_text": text_digest(text_of(F.col(text_col)))}
     )
+    key = ["_near_id", "_near_text"]
+    repeated = judged.filter("stays and copies > 1").select(*key)
+    out = keyed.join(judged.filter("not stays or copies > 1").select(*key), key, "left_anti")
+    # Rows that repeat id and text are dropped down to one where they are read.
+    out = out.unionByName(keyed.join(repeated, key, "left_semi").dropDuplicates(key))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -17,7 +17,7 @@ from ticketlens.operators.openat import MonthGrid, SingleInstant, WeekGrid, expl
 from ticketlens.operators.ordering import equal_count_bin, ordered_prefix, rank_desc, row_numbers
 from ticketlens.operators.percentile import MEDIAN, P90, grouped_percentiles
 from ticketlens.operators.quantiles import position_quantiles
-from ticketlens.plans.enrich import number_changes, open_backlog_at_event, reopen_counts
+from ticketlens.plans.enrich import add_sla_target, number_changes, open_backlog_at_event, reopen_counts
 
 
 def skewed(spark, n=4000):
@@ -211,6 +211,25 @@ def test_labels(spark):
     assert df.filter("c = 'sd_wan'").select(service_label("c")).first()[0] == "SD-WAN"
 
 
+def test_labels_of_any_length(spark):
+    code = "a" * 1_200_000 + "_b"
+    got = spark.createDataFrame([(code,)], "c string").select(humanise("c")).first()[0]
+    assert got == "A" + "a" * 1_199_999 + " B"
+
+
+def test_repeated_sla_targets_double_no_ticket(spark):
+    targets = spark.createDataFrame(
+        [("gold", "major", 8), ("gold", "major", 4), ("gold", "low", 24), ("tin", "low", 1), (None, "low", 2)],
+        "tier string, severity string, target_hours int",
+    )
+    tickets = spark.createDataFrame(
+        [(1, "gold", "major"), (2, "gold", "low"), (3, "bronze", "low"), (4, None, "low")],
+        "id int, tier string, severity string",
+    )
+    got = add_sla_target(tickets, targets).orderBy("id").select("id", "sla_target_hours").collect()
+    assert [tuple(r) for r in got] == [(1, 4), (2, 24), (3, None), (4, None)]
+
+
 def test_ranking_metrics_by_hand(spark):
     y = [1, 0, 1, 1, 0, 0, 1, 0]
     p = [0.9, 0.8, 0.8, 0.6, 0.6, 0.3, 0.2, 0.0]

@@ -118,8 +118,13 @@ def creation_fields(df: DataFrame) -> DataFrame:
 
 
 def add_sla_target(df: DataFrame, targets: DataFrame) -> DataFrame:
-    # At most tiers x severities = 16 rows (both domains are closed): a fixed broadcast size.
-    small = targets.select("tier", "severity", F.col("target_hours").alias("sla_target_hours"))
+    """The target of each ticket's tier and severity; of repeated targets the strictest one.
+
+    Targets outside the two closed domains meet no ticket. What is left, at most tiers x
+    severities = 16 rows, has a proven broadcast size, whatever the source holds.
+    """
+    known = F.col("tier").isin(C.TIERS) & F.col("severity").isin(C.SEVERITIES)
+    small = targets.filter(known).groupBy("tier", "severity").agg(F.min("target_hours").alias("sla_target_hours"))
     return df.join(F.broadcast(small), ["tier", "severity"], "left")
 
 

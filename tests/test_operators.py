@@ -12,10 +12,11 @@ from ticketlens.functions.exact import pct, ratio
 from ticketlens.functions.labels import humanise, service_label
 from ticketlens.operators import metrics
 from ticketlens.operators.encoding import cross_fit_encode, fold_of
+from ticketlens.operators.dense import every_step
 from ticketlens.operators.intervals import flag_inside, interval_join
 from ticketlens.operators.openat import MonthGrid, SingleInstant, WeekGrid, explode_open, open_counts
 from ticketlens.operators.ordering import equal_count_bin, ordered_prefix, rank_desc, row_numbers
-from ticketlens.operators.percentile import MEDIAN, P90, grouped_percentiles
+from ticketlens.operators.percentile import MEDIAN, P90, grouped_percentiles, selected_percentiles
 from ticketlens.operators.quantiles import position_quantiles
 from ticketlens.plans.enrich import add_sla_target, number_changes, open_backlog_at_event, reopen_counts
 
@@ -70,6 +71,59 @@ def test_percentile_of_a_group_without_values_is_null(spark):
     assert got == {"a": None, "b": 8}
 
 
+@pytest.mark.parametrize("keys", [["key"], ["key", "third"], []])
+def test_selected_percentiles_equal_the_grouped_ones(spark, keys):
+    """Values over many bins, negative ones, NULL keys and values, weights, a hot key."""
+    i = F.col("id")
+    df = skewed(spark, 6000).withColumns(
+        {
+            "key": F.when(i % 17 > 0, F.col("key")),
+            "third": i % 3,
+            "v": F.when(i % 13 > 0, (i * 7919) % 100_003 * 97 - 50_000),
+            "n": (i % 4).cast("bigint"),
+        }
+    )
+    ask = {"m": MEDIAN, "p": P90, "top": (1, 1), "low": (0, 1)}
+    sums = {"n_rows": F.lit(1).cast("bigint"), "total": F.col("v")}
+    for weight in (None, F.col("n")):
+        got = selected_percentiles(df, keys, "v", ask, sums, weight)
+        want = grouped_percentiles(df, keys, "v", ask, sums, weight)
+        assert got.columns == want.columns
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_selected_percentiles_without_values_or_rows(spark):
+    df = spark.createDataFrame([("a", None), ("b", 4), (None, 7)], "k string, v int")
+    got = {r["k"]: r["m"] for r in selected_percentiles(df, ["k"], "v", {"m": MEDIAN}).collect()}
+    assert got == {"a": None, "b": 8, None: 14}
+    none = df.filter("v > 100")
+    ask = ({"m": MEDIAN}, {"n": F.lit(1)})
+    assert [tuple(r) for r in selected_percentiles(none, [], "v", *ask).collect()] == [(None, None)]
+    assert selected_percentiles(none, ["k"], "v", *ask).count() == 0
+
+
+def test_selected_percentiles_shuffle_bins_and_not_values(spark):
+    df = spark.range(200_000).select(((F.col("id") * 7919) % 199_999).alias("v"))
+    got = selected_percentiles(df, [], "v", {"m": MEDIAN})
+    values = sorted((i * 7919) % 199_999 for i in range(200_000))
+    assert got.first()["m"] == values[99_999] + values[100_000]
+
+
+def test_every_step_fills_the_gaps(spark):
+    owners = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, info int")
+    series = spark.createDataFrame(
+        [("a", 1, 10), ("a", 3, None), ("b", 0, 5), ("b", 4, 6), ("x", 2, 9), ("c", 7, 1)],
+        "k string, i bigint, m int",
+    )
+    got = {(r["k"], r["i"]): (r["info"], r["m"]) for r in every_step(owners, series, "k", "i", 5).collect()}
+    assert len(got) == 15 == every_step(owners, series, "k", "i", 5).count()
+    assert {k: v for k, v in got.items() if v[1] is not None} == {
+        ("a", 1): (1, 10), ("b", 0): (2, 5), ("b", 4): (2, 6)
+    }
+    assert every_step(owners, series, "k", "i", 0).count() == 0
+    assert every_step(owners, series.limit(0), "k", "i", 2).count() == 6
+
+
 @pytest.mark.parametrize("total", [3, 10, 26_267, 26_270])
 def test_equal_count_bins_put_larger_bins_first(spark, total):
     rows = spark.range(1, total + 1).select(

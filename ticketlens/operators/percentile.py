@@ -1,13 +1,21 @@
 """Exact linear-interpolated percentiles that do not hold a group in memory.
 
-Rows are first counted per (group, value) with map-side combine, so a hot group is spread
-over many reducers; only its distinct values reach the ranking step. Values are integers
-at a fixed resolution (seconds, 1/10000 h), which bounds how many there can be.
+Two ways with equal results. Values are integers at a fixed resolution (seconds, 1/10000 h).
+
+:func:`grouped_percentiles`, for many groups: rows are counted per (group, value) with
+map-side combine, so a hot group is spread over many reducers, and a window ranks the
+distinct values of a group.
+
+:func:`selected_percentiles`, for no or few groups: a histogram of 4096 values a bin finds the
+bins that hold the wanted ranks, and a second scan counts the values of those bins only. Each
+shuffle carries bins or the values of a few bins, and no task ranks all values of a group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,12 +31,25 @@ def _big(n: int) -> Column:
     return F.lit(n).cast("bigint")
 
 
+def _ranks(num: int, den: int) -> tuple[Column, Column, Column]:
+    """0-based ranks below and above the wanted position, and its fraction in units of 1/den."""
+    pos = (F.col("_n") - 1) * _big(num)
+    part = pos % _big(den)
+    low = idiv(pos, den)
+    return low, low + F.when(part > 0, _big(1)).otherwise(_big(0)), part
+
+
 def _pick(value: Column, low: Column) -> Column:
     """The value whose run of equal rows covers 0-based rank ``low``."""
     covers = (F.col("_cum") - F.col("_c") <= low) & (low < F.col("_cum"))
     return F.max(F.when(covers, value))
 
 
+def _between(name: str, den: int) -> Column:
+    lo, hi, part = (F.col(f"_{x}_{name}") for x in ("lo", "hi", "fr"))
+    return (lo * _big(den) + (hi - lo) * part).alias(name)
+
+
 def grouped_percentiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -57,20 +78,89 @@ def grouped_percentiles(
     )
     picks, shaped = [], []
     for name, (num, den) in fractions.items():
-        pos = (F.col("_n") - 1) * _big(num)
-        low = idiv(pos, den)
-        high = low + F.when(pos % _big(den) > 0, _big(1)).otherwise(_big(0))
+        low, high, part = _ranks(num, den)
         picks += [
             _pick(F.col("_v"), low).alias(f"_lo_{name}"),
             _pick(F.col("_v"), high).alias(f"_hi_{name}"),
-            F.max(pos % _big(den)).alias(f"_fr_{name}"),
+            F.max(part).alias(f"_fr_{name}"),
         ]
-        lo, hi, part = (F.col(f"_{x}_{name}") for x in ("lo", "hi", "fr"))
-        shaped.append((lo * _big(den) + (hi - lo) * part).alias(name))
+        shaped.append(_between(name, den))
     totals = ranked.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in sums], *picks)
     return totals.select(*keys, *sums, *shaped)
 
 
+BIN_BITS = 12
+
+
+def selected_percentiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    fractions: dict[str, Fraction],
+    sums: dict[str, Column] | None = None,
+    weight: Column | None = None,
+) -> DataFrame:
+    """As :func:`grouped_percentiles`, for keys of a closed domain (or none at all).
+
+    Three scans of ``df`` (sums, histogram, values of the bins found), each combined on the map
+    side. The broadcast table has at most two rows per group and fraction, so the keys must have
+    a bounded number of values. The histogram window ranks the bins of a group, at most
+    (range of the values) / 4096 rows.
+    """
+    sums = sums or {}
+    by = list(keys) or ["_all"]
+    one = weight if weight is not None else _big(1)
+    totals = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.sum(expr).alias(name) for name, expr in sums.items()]
+    )
+    rows = df
+    if not keys:
+        totals = totals.withColumn("_all", F.lit(0))
+        rows = df.withColumn("_all", F.lit(0))
+    rows = rows.filter(F.col(value).isNotNull()).select(
+        *by,
+        F.col(value).cast("bigint").alias("_v"),
+        F.shiftright(F.col(value).cast("bigint"), BIN_BITS).alias("_bin"),
+        one.cast("bigint").alias("_w"),
+    )
+
+    of_group = Window.partitionBy(*by)
+    running = of_group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    histogram = rows.groupBy(*by, "_bin").agg(F.sum("_w").alias("_c")).withColumns(
+        {"_cum": F.sum("_c").over(running), "_n": F.sum("_c").over(of_group)}
+    )
+    before = F.col("_cum") - F.col("_c")
+    wanted, marks = {}, []
+    for name, (num, den) in fractions.items():
+        low, high, part = _ranks(num, den)
+        for end, rank in (("lo", low), ("hi", high)):
+            here = (before <= rank) & (rank < F.col("_cum"))
+            wanted[f"_at_{end}_{name}"] = F.when(here, rank - before)
+            marks.append(f"_at_{end}_{name}")
+        wanted[f"_fr_{name}"] = part
+    found = histogram.select(*by, "_bin", *[c.alias(n) for n, c in wanted.items()]).filter(
+        F.coalesce(*marks).isNotNull()
+    )
+    hits = found.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_bin"])], *wanted)
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*by, "_bin"])]
+    inside = rows.join(F.broadcast(hits), reduce(and_, same)).groupBy(*by, "_bin", "_v").agg(
+        F.sum("_w").alias("_c"), *[F.max(n).alias(n) for n in wanted]
+    )
+    line = Window.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    picks, shaped = [], []
+    for name, (_, den) in fractions.items():
+        picks += [
+            _pick(F.col("_v"), F.col(f"_at_{end}_{name}")).alias(f"_{end}_{name}")
+            for end in ("lo", "hi")
+        ]
+        picks.append(F.max(f"_fr_{name}").alias(f"_fr_{name}"))
+        shaped.append(_between(name, den))
+    picked = inside.withColumn("_cum", F.sum("_c").over(line)).groupBy(*by).agg(*picks)
+    picked = picked.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], *shaped)
+    joined = totals.join(F.broadcast(picked), reduce(and_, same[: len(by)]), "left")
+    return joined.select(*keys, *sums, *fractions)
+
+
 def tick_hours(name: str, fraction: Fraction = MEDIAN, digits: int = 2) -> Column:
     """Percentile of 1/10000-hour ticks (times the denominator) -> rounded hours."""
     return ratio(F.col(name), 10_000 * fraction[1], digits)

@@ -12,7 +12,12 @@ from ticketlens import constants as C
 from ticketlens.functions import labels as L
 from ticketlens.functions.exact import pct, ratio, week_of
 from ticketlens.operators.ordering import row_numbers
-from ticketlens.operators.percentile import MEDIAN, P90, grouped_percentiles
+from ticketlens.operators.percentile import (
+    MEDIAN,
+    P90,
+    grouped_percentiles,
+    selected_percentiles,
+)
 from ticketlens.plans import views
 from ticketlens.plans.desk import Desk
 from ticketlens.plans.views import flag, micro, one, ticks
@@ -314,7 +319,7 @@ def dashboard_tickets(
 
 
 def measures(tickets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The dashboard's ticket measures per key (ticket ids are unique, so count = countd)."""
+    """The dashboard's ticket measures, in all or per key (ticket ids are unique, so count = countd)."""
     live = (F.col("status") != "cancelled") & ~F.col("is_resolved")
     sums = {
         "tickets": one(),
@@ -328,7 +333,8 @@ def measures(tickets: DataFrame, keys: Sequence[str]) -> DataFrame:
     # The extract shows hours with two decimals, so the median is taken over those.
     cents = F.call_function("div", ticks() + 50, F.lit(100).cast("bigint"))
     base = tickets.withColumn("_cents", cents)
-    agg = grouped_percentiles(base, keys, "_cents", {"p50": MEDIAN, "p90": P90}, sums)
+    percentiles = grouped_percentiles if keys else selected_percentiles
+    agg = percentiles(base, keys, "_cents", {"p50": MEDIAN, "p90": P90}, sums)
     return agg.select(
         *keys,
         "tickets",

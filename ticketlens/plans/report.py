@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ticketlens.constants import AGE_BANDS
 from ticketlens.functions.exact import big, ratio, units, wide_ratio
 from ticketlens.operators.openat import WeekGrid
-from ticketlens.operators.percentile import MEDIAN, grouped_percentiles
+from ticketlens.operators.percentile import MEDIAN, selected_percentiles
 from ticketlens.plans import views
 from ticketlens.plans.desk import Desk
 from ticketlens.plans.views import flag, one, urgent
@@ -199,7 +199,7 @@ def ageing_matrix(desk: Desk, key: str, week_ending: date | None = None) -> Data
     }
 
     def shaped(keys: list[str]) -> DataFrame:
-        agg = grouped_percentiles(held, keys, "age_cents", {"p50": MEDIAN}, sums)
+        agg = selected_percentiles(held, keys, "age_cents", {"p50": MEDIAN}, sums)
         total = F.lit(None).cast("string").alias(key)
         return agg.select(
             *(keys or [total]),

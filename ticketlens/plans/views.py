@@ -28,10 +28,9 @@ from ticketlens.functions.exact import (
     week_of,
     wide_ratio,
 )
+from ticketlens.operators.dense import every_step
 from ticketlens.operators.intervals import flag_inside, interval_join
 from ticketlens.operators.openat import (
-
-
     WeekGrid,
     explode_open,
     ntz,
@@ -44,6 +43,7 @@ from ticketlens.operators.percentile import (
     P90,
     grouped_percentiles,
     second_hours,
+    selected_percentiles,
     tick_hours,
 )
 from ticketlens.plans.desk import Desk
@@ -202,39 +202,25 @@ def backlog_monthly_by_service(desk: Desk) -> DataFrame:
 def resolution_stats(desk: Desk) -> DataFrame:
     """MTTR and percentiles by severity and service type with all subtotals.
 
-    Tickets are first counted per (severity, service, hours); only those counts are expanded
-    into the four grouping sets.
+    Each ticket counts in its four (sub)total rows; only counts and sums are shuffled.
     """
     dims = ["severity", "service_type"]
-    base = desk.tickets.filter("is_resolved").withColumn("ticks", ticks())
-    compact = base.groupBy(*dims, "ticks").agg(
-        F.count(F.lit(1)).alias("n"),
-        count_where(F.col("sla_breached")).alias("breached"),
-        F.sum(units("sla_target_hours", 100)).alias("target"),
-    )
-    sets = [[*dims, "ticks"], ["severity", "ticks"], ["service_type", "ticks"], ["ticks"]]
-    expanded = compact.groupingSets(sets, *dims, "ticks").agg(
-        F.sum("n").alias("n"),
-        F.sum("breached").alias("breached"),
-        F.sum("target").alias("target"),
-        *[F.grouping(d).alias(f"_g_{d}") for d in dims],
-    )
-    named = expanded.select(
-        *[F.when(F.col(f"_g_{d}") == 1, "all").otherwise(F.col(d)).alias(d) for d in dims],
-        "ticks",
-        "n",
-        "breached",
-        "target",
+    target = units("sla_target_hours", 100)
+    both = [F.col(d).alias(d) for d in dims]
+    every = [F.lit("all").alias(d) for d in dims]
+    sets = [F.struct(a, b) for a in (both[0], every[0]) for b in (both[1], every[1])]
+    base = desk.tickets.filter("is_resolved").select(
+        ticks().alias("ticks"), flag("sla_breached").alias("breached"), target.alias("target"),
+        F.explode(F.array(*sets)).alias("_set"),
     )
+    named = base.select("_set.*", "ticks", "breached", "target")
     sums = {
-        "resolved_tickets": F.col("n"),
-        "_ticks": F.col("ticks") * F.col("n"),
+        "resolved_tickets": one(),
+        "_ticks": F.col("ticks"),
         "_target": F.col("target"),
         "_breached": F.col("breached"),
     }
-    agg = grouped_percentiles(
-        named, dims, "ticks", {"p50": MEDIAN, "p90": P90}, sums, weight=F.col("n")
-    )
+    agg = selected_percentiles(named, dims, "ticks", {"p50": MEDIAN, "p90": P90}, sums)
     return agg.select(
         *dims,
         "resolved_tickets",
@@ -324,7 +310,7 @@ def outage_vs_normal(desk: Desk) -> DataFrame:
         "_backlog": F.col("open_backlog_at_creation").cast("bigint"),
     }
     flagged = during_outage(base, desk.outages)
-    agg = grouped_percentiles(flagged, ["during_outage"], "ticks", {"p50": MEDIAN}, sums)
+    agg = selected_percentiles(flagged, ["during_outage"], "ticks", {"p50": MEDIAN}, sums)
     return agg.select(
         "during_outage",
         "tickets",
@@ -497,9 +483,12 @@ def week_spine(spark: SparkSession, grid: WeekGrid) -> DataFrame:
 
 
 def _weekly_measures(
-    desk: Desk, grid: WeekGrid, keys: Sequence[str], fractions: dict
+    desk: Desk, grid: WeekGrid, keys: Sequence[str], fractions: dict, percentiles=selected_percentiles
 ) -> DataFrame:
-    """Opened by creation week and resolved by resolution week, from one scan."""
+    """Opened by creation week and resolved by resolution week.
+
+    ``percentiles`` is ``grouped_percentiles`` where the keys have no bounded number of values.
+    """
     first = ntz(grid.first - timedelta(days=7))
     stop = ntz(grid.first + timedelta(days=7 * (grid.size - 1)))
     null = F.lit(None).cast("bigint")
@@ -529,7 +518,7 @@ def _weekly_measures(
         "breached_tickets": F.col("breached"),
         "_ticks": F.coalesce(F.col("ticks"), F.lit(0).cast("bigint")),
     }
-    return grouped_percentiles(flat, [*keys, "week_start"], "ticks", fractions, sums)
+    return percentiles(flat, [*keys, "week_start"], "ticks", fractions, sums)
 
 
 COUNTS = ["tickets_opened", "tickets_resolved", "breached_tickets"]
@@ -574,21 +563,20 @@ def weekly_kpi(desk: Desk, grid: WeekGrid | None = None) -> DataFrame:
     )
 
 
-def _dense(keyed: DataFrame, grid: WeekGrid) -> DataFrame:
-    """Every key on every week: each key row names the weeks itself."""
-    index = F.explode(F.sequence(F.lit(0), F.lit(grid.size - 1)))
-    day = F.to_date(grid.instant(F.col("_i")))
-    return keyed.withColumn("_i", index).select(
-        F.date_sub(day, 7).alias("week_start"), F.date_sub(day, 1).alias("week_ending"),
-        *keyed.columns,
-    )
+def _dense(owners: DataFrame, flow: DataFrame, key: str, grid: WeekGrid) -> DataFrame:
+    """Every owner on every week of the grid, with its measures of that week."""
+    first = F.lit((grid.first - timedelta(days=7)).date())
+    step = idiv(F.date_diff("week_start", first), 7)
+    filled = every_step(owners, flow.withColumn("_i", step).drop("week_start"), key, "_i", grid.size)
+    monday = F.date_add(first, (F.col("_i") * 7).cast("int"))
+    return filled.withColumns({"week_start": monday, "week_ending": F.date_add(monday, 6)})
 
 
 def weekly_kpi_by_customer(desk: Desk, grid: WeekGrid | None = None) -> DataFrame:
     grid = grid or desk.weeks
-    flow = _weekly_measures(desk, grid, ["customer_id"], {"p50": MEDIAN})
+    flow = _weekly_measures(desk, grid, ["customer_id"], {"p50": MEDIAN}, grouped_percentiles)
     people = desk.customers.select("customer_id", "customer_name", "tier", "industry")
-    joined = _dense(people, grid).join(flow, ["customer_id", "week_start"], "left")
+    joined = _dense(people, flow, "customer_id", grid)
     return joined.select(
         "week_start",
         "week_ending",
@@ -603,7 +591,7 @@ def weekly_kpi_by_service(desk: Desk, grid: WeekGrid | None = None) -> DataFrame
     grid = grid or desk.weeks
     flow = _weekly_measures(desk, grid, ["service_type"], {"p50": MEDIAN, "p90": P90})
     kinds = desk.services.select("service_type").distinct()
-    joined = _dense(kinds, grid).join(flow, ["service_type", "week_start"], "left")
+    joined = _dense(kinds, flow, "service_type", grid)
     return joined.select(
         "week_start",
         "week_ending",

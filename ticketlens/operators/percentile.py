@@ -102,52 +102,60 @@ def selected_percentiles(
 ) -> DataFrame:
     """As :func:`grouped_percentiles`, for keys of a closed domain (or none at all).
 
-    Three scans of ``df`` (sums, histogram, values of the bins found), each combined on the map
+    Two scans of ``df`` (histogram with sums; values of the bins found), each combined on the map
     side. The broadcast table has at most two rows per group and fraction, so the keys must have
     a bounded number of values. The histogram window ranks the bins of a group, at most
-    (range of the values) / 4096 rows.
+    (range of the values) / 4096 rows; the window over values sees 4096 a bin found.
     """
     sums = sums or {}
     by = list(keys) or ["_all"]
+    value_of = F.col(value).cast("bigint")
     one = weight if weight is not None else _big(1)
-    totals = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.sum(expr).alias(name) for name, expr in sums.items()]
-    )
-    rows = df
-    if not keys:
-        totals = totals.withColumn("_all", F.lit(0))
-        rows = df.withColumn("_all", F.lit(0))
-    rows = rows.filter(F.col(value).isNotNull()).select(
+    rows = df if keys else df.withColumn("_all", F.lit(0))
+    rows = rows.select(
         *by,
-        F.col(value).cast("bigint").alias("_v"),
-        F.shiftright(F.col(value).cast("bigint"), BIN_BITS).alias("_bin"),
-        one.cast("bigint").alias("_w"),
+        value_of.alias("_v"),
+        F.shiftright(value_of, BIN_BITS).alias("_bin"),
+        F.when(value_of.isNotNull(), one).otherwise(_big(0)).cast("bigint").alias("_w"),
+        *[expr.alias(name) for name, expr in sums.items()],
     )
 
     of_group = Window.partitionBy(*by)
     running = of_group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    histogram = rows.groupBy(*by, "_bin").agg(F.sum("_w").alias("_c")).withColumns(
-        {"_cum": F.sum("_c").over(running), "_n": F.sum("_c").over(of_group)}
+    histogram = rows.groupBy(*by, "_bin").agg(
+        F.sum("_w").alias("_c"), *[F.sum(name).alias(name) for name in sums]
+    ).withColumns(
+        {
+            "_cum": F.sum("_c").over(running),
+            "_n": F.sum("_c").over(of_group),
+            **{name: F.sum(name).over(of_group) for name in sums},
+        }
     )
     before = F.col("_cum") - F.col("_c")
-    wanted, marks = {}, []
+    carried, marks = {name: F.col(name) for name in sums}, []
     for name, (num, den) in fractions.items():
         low, high, part = _ranks(num, den)
         for end, rank in (("lo", low), ("hi", high)):
             here = (before <= rank) & (rank < F.col("_cum"))
-            wanted[f"_at_{end}_{name}"] = F.when(here, rank - before)
+            carried[f"_at_{end}_{name}"] = F.when(here, rank - before)
             marks.append(f"_at_{end}_{name}")
-        wanted[f"_fr_{name}"] = part
-    found = histogram.select(*by, "_bin", *[c.alias(n) for n, c in wanted.items()]).filter(
-        F.coalesce(*marks).isNotNull()
+        carried[f"_fr_{name}"] = part
+    # A group without values keeps a row, so that its sums are not lost.
+    places = [*by, "_bin"]
+    found = histogram.select("_n", *places, *[c.alias(n) for n, c in carried.items()]).filter(
+        F.coalesce(*marks).isNotNull() | (F.col("_n") == 0)
     )
-    hits = found.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_bin"])], *wanted)
-    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*by, "_bin"])]
-    inside = rows.join(F.broadcast(hits), reduce(and_, same)).groupBy(*by, "_bin", "_v").agg(
-        F.sum("_w").alias("_c"), *[F.max(n).alias(n) for n in wanted]
+    hits = found.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(places)], *carried)
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(places)]
+    inside = (
+        rows.select(*places, "_v", "_w")
+        .join(F.broadcast(hits), reduce(and_, same))
+        .groupBy(*places, "_v")
+        .agg(F.sum("_w").alias("_c"), *[F.max(n).alias(n) for n in carried])
+        .repartition(*by)
     )
-    line = Window.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    picks, shaped = [], []
+    line = Window.partitionBy(*places).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    picks, shaped = [F.max(name).alias(name) for name in sums], []
     for name, (_, den) in fractions.items():
         picks += [
             _pick(F.col("_v"), F.col(f"_at_{end}_{name}")).alias(f"_{end}_{name}")
@@ -155,10 +163,8 @@ def selected_percentiles(
         ]
         picks.append(F.max(f"_fr_{name}").alias(f"_fr_{name}"))
         shaped.append(_between(name, den))
-    picked = inside.withColumn("_cum", F.sum("_c").over(line)).groupBy(*by).agg(*picks)
-    picked = picked.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], *shaped)
-    joined = totals.join(F.broadcast(picked), reduce(and_, same[: len(by)]), "left")
-    return joined.select(*keys, *sums, *fractions)
+    picked = inside.withColumn("_cum", F.sum("_c").over(line))
+    return picked.groupBy(*keys).agg(*picks).select(*keys, *sums, *shaped)
 
 
 def tick_hours(name: str, fraction: Fraction = MEDIAN, digits: int = 2) -> Column:

@@ -102,7 +102,7 @@ def test_selected_percentiles_without_values_or_rows(spark):
     assert selected_percentiles(none, ["k"], "v", *ask).count() == 0
 
 
-def test_selected_percentiles_shuffle_bins_and_not_values(spark):
+def test_selected_percentile_of_many_distinct_values(spark):
     df = spark.range(200_000).select(((F.col("id") * 7919) % 199_999).alias("v"))
     got = selected_percentiles(df, [], "v", {"m": MEDIAN})
     values = sorted((i * 7919) % 199_999 for i in range(200_000))

@@ -36,7 +36,7 @@ KPIS = [
 
 def available_weeks(desk: Desk) -> DataFrame:
     """Week endings with a full week of data, oldest first."""
-    spine = views.week_spine(desk.tickets.sparkSession, desk.weeks)
+    spine = views.week_spine(desk.spark, desk.weeks)
     return spine.select("week_ending").orderBy("week_ending")
 
 
